@@ -80,7 +80,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
     """At most ``bound`` labelled rows with their texts, the smallest by a seeded hash of the id.
 
     The bound holds whatever the size of the tables, so what is broadcast and trained on is bounded too.
-    Rows whose id or label is null are never taken.
+    Rows whose id or label is null are never taken; of rows that repeat an id, one is.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep)
@@ -90,4 +90,6 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
         .limit(bound)
     )
     picked = documents.select("doc_id", *columns).join(F.broadcast(chosen), "doc_id")
-    return settle(picked.select(*columns, "__label"), "sample")
+    # Rows that repeat an id are one training row, so that they cannot exceed the bound.
+    one = picked.groupBy("doc_id", "__label").agg(F.min(F.struct(*columns)).alias("row"))
+    return settle(one.select("row.*", "__label"), "sample")
