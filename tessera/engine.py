@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +27,12 @@ class Engine:
         require_ansi(spark)
         self.spark = spark
         self.store = TableStore(spark, root) if root else None
-        self._views: dict[str, DataFrame] = {}
+        self._views: dict[str, DataFrame | Callable[[], DataFrame]] = {}
 
     # catalog
 
-    def register(self, name: str, frame: DataFrame) -> None:
-        """Makes a DataFrame readable as a table."""
+    def register(self, name: str, frame: DataFrame | Callable[[], DataFrame]) -> None:
+        """Makes a DataFrame readable as a table; what gives one is called when a statement first needs it."""
         if self.store and self.store.exists(name):
             raise TableAlreadyExists(name)
         self._views[name.lower()] = frame
@@ -39,11 +40,14 @@ class Engine:
     def register_folder(self, folder: str, names: Iterable[str]) -> None:
         """Registers ``folder/name.parquet`` for each name; files are read when a statement needs them."""
         for name in names:
-            self.register(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
+            self.register(name, functools.partial(self.spark.read.parquet, f"{folder}/{name}.parquet"))
 
     def table(self, name: str) -> DataFrame:
-        if name.lower() in self._views:
-            return self._views[name.lower()]
+        view = self._views.get(name.lower())
+        if view is not None:
+            if not isinstance(view, DataFrame):
+                view = self._views[name.lower()] = view()
+            return view
         if self.store is None:
             raise TableNotFound(name)
         return self.store.read(self.store.load(name))
