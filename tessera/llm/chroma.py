@@ -23,23 +23,25 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .common import settle, ship
+from .components import components
 
 RATE, FRAME, HOP = 8000, 256, 64
 LOWEST_HZ, HIGHEST_HZ = 55.0, 3520.0
 FILTER_WIDTH = 8
-PAIR_GAP = 4
+LANDMARK_FRAMES = (0, 4)
 STRETCH = 8
 #: Most bit errors of aligned integers, and the least number of them.
 MOST_BIT_ERRORS = 0.2
 LEAST_OVERLAP = 4
-LEAST_VOTES = 1
 FILTER_BITS = 1 << 25
 QUERY_MODULUS = 50
 
 #: (kind, first pitch class, height, width) by rule: each of four comparisons at four sizes of area.
 FILTERS = [(kind, (3 * size + 2 * kind) % (12 - height + 1), height, width) for kind in range(4) for size, (height, width) in enumerate(((2, 8), (4, 4), (6, 2), (8, 8)))]
-#: Thresholds of the log ratio that part it into four.
-THRESHOLDS = (-0.25, 0.0, 0.25)
+#: Thresholds of the log ratio that part it into four. None is 0, which two silent areas give.
+THRESHOLDS = (-0.25, 0.03, 0.3)
+#: Added to both areas, so that what is nearly silent compares as equal.
+FLOOR = 0.1
 
 
 def pitch_classes(rate: int = RATE, frame: int = FRAME) -> np.ndarray:
@@ -103,18 +105,19 @@ def fingerprints(chroma: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
         else:  # the middle frames against the outer ones
             a = area(width // 4, width - width // 4, pitch, top)
             b = area(0, width, pitch, top) - a
-        ratio = np.log((1e-3 + np.maximum(a, 0)) / (1e-3 + np.maximum(b, 0)))
+        ratio = np.log((FLOOR + np.maximum(a, 0)) / (FLOOR + np.maximum(b, 0)))
         part = np.searchsorted(THRESHOLDS, ratio).astype(np.uint32)
         packed = (packed << np.uint32(2)) | (part ^ (part >> np.uint32(1)))
     return packed, starts
 
 
 def landmarks(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of one recording: of every ``STRETCH`` consecutive pair hashes the least is kept."""
+    """(hashes, places) of one recording: of every ``STRETCH`` consecutive hashes the least is kept."""
     if not len(packed):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    later = packed[np.minimum(np.arange(len(packed)) + PAIR_GAP, len(packed) - 1)]
-    pairs = tx.mix((packed.astype(np.uint64) << np.uint64(32)) | later.astype(np.uint64))
+    pairs = np.zeros(len(packed), np.uint64)
+    for gap in LANDMARK_FRAMES:
+        pairs = tx.mix(pairs + packed[np.minimum(np.arange(len(packed)) + gap, len(packed) - 1)].astype(np.uint64))
     if len(pairs) <= STRETCH:
         kept = np.array([int(np.argmin(pairs))])
     else:
@@ -193,21 +196,41 @@ def _landmark_rows(table):
     return run
 
 
-def _errors(batches):
+def _alignments(batches):
+    """Of pairs of recordings, those whose bits agree at the fullest bin of their whole offset histogram."""
     for batch in batches:
-        overlap, share = [], []
-        for q, r, offset in zip(batch.column(4), batch.column(5), batch.column(2).to_pylist(), strict=True):
-            n, x = bit_errors(q.values.to_numpy().view(np.uint32), r.values.to_numpy().view(np.uint32), offset)
-            overlap.append(n)
-            share.append(x)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(overlap, pa.int64()), pa.array(share, pa.float64())], ["query", "class", "offset", "votes", "overlap", "bit_errors"])
+        kept, out = [], {"offset": [], "votes": [], "overlap": [], "bit_errors": []}
+        for i, (q, r) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            query, recording = (x.values.to_numpy().view(np.uint32) for x in (q, r))
+            best = best_offset(query, recording)
+            overlap, wrong = bit_errors(query, recording, best[0]) if best else (0, 1.0)
+            if overlap >= LEAST_OVERLAP and wrong <= MOST_BIT_ERRORS:
+                kept.append(i)
+                for k, v in zip(out, (*best, overlap, wrong), strict=True):
+                    out[k].append(v)
+        at = pa.array(kept, pa.int64())
+        yield pa.record_batch(
+            {
+                "query": batch.column(0).take(at),
+                "class": batch.column(1).take(at),
+                "offset": pa.array(out["offset"], pa.int32()),
+                "votes": pa.array(out["votes"], pa.int64()),
+                "overlap": pa.array(out["overlap"], pa.int64()),
+                "bit_errors": pa.array(out["bit_errors"], pa.float64()),
+            }
+        )
 
 
 def align_queries(prints: DataFrame, is_query: Column) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs): id, frames, class_id and is_query of each recording; and the aligned pairs of classes.
+    """(classes, pairs): id, frames, class_id, group_id, members and is_query of each recording; aligned pairs of classes.
 
-    A class is named by the smallest id in it. A pair says that a query's class aligns with another class at an offset
-    (frames), with its votes, the integers that overlap and their share of bit errors. Members are in ``classes``.
+    A class has equal fingerprints and is named by the smallest id in it. A pair says that a query's class aligns with
+    another class at an offset (frames), with its votes, the integers that overlap and their share of bit errors.
+
+    Many copies that share a landmark would make pairs without number, so each landmark first brings its recordings to
+    the least of its queries only; recordings that align so are a group. Then, of landmarks whose recordings are still in
+    several groups, every query meets every recording of another group. The pairs thus span all groups: within one,
+    queries and recordings are placed against each other by the offsets to their common query.
     """
     spark = prints.sparkSession
     prints = settle(prints, "prints")
@@ -216,22 +239,33 @@ def align_queries(prints: DataFrame, is_query: Column) -> tuple[DataFrame, DataF
     )
     sets = prints.where(F.size("packed") >= LEAST_OVERLAP).select("class", "packed").dropDuplicates(["class"])
     sets = settle(sets.join(named, "class").select("class", "packed", "asks"), "sets")
-    asked = settle(sets.where("asks").select("class", "packed").mapInArrow(_landmark_rows(None), "class bigint, key bigint, place int"), "asked")
-    slot = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
-    slots = asked.select(slot.alias("s"))
+    asked = settle(sets.where("asks").select("class", "packed").mapInArrow(_landmark_rows(None), "class bigint, key bigint, place int").select("class", "key").distinct(), "asked")
+    slots = asked.select(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("s"))
     words = slots.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v")).toArrow()  # at most FILTER_BITS / 64 rows
     table = np.zeros(FILTER_BITS // 64, np.int64)
     table[words["w"].to_numpy()] = words["v"].to_numpy()
     may = spark.sparkContext.broadcast(table.view(np.uint8))
-    marks = sets.select("class", "packed").mapInArrow(_landmark_rows(may), "class bigint, key bigint, place int")
-    asked = asked.select(F.col("class").alias("query"), "key", F.col("place").alias("at"))
-    votes = marks.join(asked, "key").where("query != class").groupBy("query", "class", (F.col("place") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("query", "class").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.abs("offset").alias("o"), F.col("offset").alias("offset"))).alias("b"))
-    best = settle(best.select("query", "class", "b.offset", (-F.col("b.v")).alias("votes")).where(F.col("votes") >= LEAST_VOTES), "best")
-    paired = best.join(sets.select(F.col("class").alias("query"), F.col("packed").alias("q")), "query").join(sets.select("class", F.col("packed").alias("r")), "class")
-    checked = paired.select("query", "class", "offset", "votes", "q", "r").mapInArrow(_errors, "query bigint, class bigint, offset int, votes bigint, overlap bigint, bit_errors double")
-    pairs = checked.where((F.col("overlap") >= LEAST_OVERLAP) & (F.col("bit_errors") <= MOST_BIT_ERRORS))
+    marks = settle(sets.select("class", "packed").mapInArrow(_landmark_rows(may), "class bigint, key bigint, place int").select("class", "key").distinct(), "marks")
+
+    def aligned(candidates: DataFrame) -> DataFrame:
+        paired = candidates.join(sets.select(F.col("class").alias("query"), F.col("packed").alias("q")), "query").join(sets.select("class", F.col("packed").alias("r")), "class")
+        return settle(paired.select("query", "class", "q", "r").mapInArrow(_alignments, "query bigint, class bigint, offset int, votes bigint, overlap bigint, bit_errors double"), "pairs")
+
+    least = settle(asked.groupBy("key").agg(F.min("class").alias("query")), "least")
+    pairs = aligned(marks.join(least, "key").where("query != class").select("query", "class").distinct())
+    groups = settle(components(pairs.select(F.col("query").alias("a"), F.col("class").alias("b"))), "groups")
+    placed = marks.join(groups.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    placed = settle(placed.join(settle(mixed, "mixed"), "key"), "placed")
+    asking = placed.join(asked, ["key", "class"], "left_semi").join(least, "key").where("class != query").select("key", F.col("class").alias("query"), F.col("root").alias("query_root"))
+    across = placed.join(settle(asking, "asking"), "key").where("root != query_root").select("query", "class").distinct()
+    pairs = pairs.union(aligned(across))
+    groups = settle(components(pairs.select(F.col("query").alias("a"), F.col("class").alias("b"))), "groups")
+    named = named.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    group_ids = settle(named.groupBy("root").agg(F.min("class_id").alias("group_id")), "group-ids")
+    named = settle(named.join(group_ids, "root").select("class", "class_id", "group_id", "members"), "named")
+
     ids = named.select("class", "class_id")
     pairs = pairs.join(ids.withColumnRenamed("class_id", "query_class_id").withColumnRenamed("class", "query"), "query").join(ids, "class").drop("query", "class")
-    classes = prints.select("id", F.size("packed").cast("long").alias("frames"), "class", F.coalesce(is_query, F.lit(False)).alias("is_query")).join(named.select("class", "class_id", "members"), "class").drop("class")
+    classes = prints.select("id", F.size("packed").cast("long").alias("frames"), "class", F.coalesce(is_query, F.lit(False)).alias("is_query")).join(named, "class").drop("class")
     return classes, pairs

@@ -21,21 +21,21 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes as a recording of 8-bit samples (the tables hold no audio), against every fiftieth one.
+    """Every document's bytes as a recording of 8-bit samples (the tables hold no audio), against those with ids divisible by 50.
 
-    Rows of kind "member" give each document its class of equal fingerprints; rows of kind "pair" the aligned pairs of
-    a query's class and another class.
+    Rows of kind "member" give each document its class of equal fingerprints and its group of aligned classes; rows of
+    kind "pair" the aligned pairs of a query's class and another class that span the groups.
     """
     documents = _table(spark, sf_dir, "documents")
     prints = chroma.fingerprint_column(documents, F.col("doc_id"), F.col("text"))
     classes, pairs = chroma.align_queries(prints, F.col("id") % chroma.QUERY_MODULUS == 0)
     none = lambda kind: F.lit(None).cast(kind)
     members = classes.select(
-        F.lit("member").alias("kind"), F.col("id").alias("doc_id"), "class_id", "frames", "members", "is_query", none("long").alias("query_class_id"),
+        F.lit("member").alias("kind"), F.col("id").alias("doc_id"), "class_id", "group_id", "frames", "members", "is_query", none("long").alias("query_class_id"),
         none("int").alias("offset"), none("long").alias("votes"), none("long").alias("overlap"), none("double").alias("bit_errors"),
     )
     found = pairs.select(
-        F.lit("pair").alias("kind"), none("long").alias("doc_id"), "class_id", none("long").alias("frames"), none("long").alias("members"), none("boolean").alias("is_query"),
+        F.lit("pair").alias("kind"), none("long").alias("doc_id"), "class_id", none("long").alias("group_id"), none("long").alias("frames"), none("long").alias("members"), none("boolean").alias("is_query"),
         "query_class_id", "offset", "votes", "overlap", "bit_errors",
     )
     return members.union(found)
