@@ -35,6 +35,8 @@ MOST_BIT_ERRORS = 0.2
 LEAST_OVERLAP = 4
 FILTER_BITS = 1 << 25
 QUERY_MODULUS = 50
+#: Recordings, and queries, of a landmark that meet in one block.
+BLOCK = 1024
 
 #: (kind, first pitch class, height, width) by rule: each of four comparisons at four sizes of area.
 FILTERS = [(kind, (3 * size + 2 * kind) % (12 - height + 1), height, width) for kind in range(4) for size, (height, width) in enumerate(((2, 8), (4, 4), (6, 2), (8, 8)))]
@@ -227,10 +229,9 @@ def align_queries(prints: DataFrame, is_query: Column) -> tuple[DataFrame, DataF
     A class has equal fingerprints and is named by the smallest id in it. A pair says that a query's class aligns with
     another class at an offset (frames), with its votes, the integers that overlap and their share of bit errors.
 
-    Many copies that share a landmark would make pairs without number, so each landmark first brings its recordings to
-    the least of its queries only; recordings that align so are a group. Then, of landmarks whose recordings are still in
-    several groups, every query meets every recording of another group. The pairs thus span all groups: within one,
-    queries and recordings are placed against each other by the offsets to their common query.
+    Every query meets every recording that shares a landmark with it, inside a group of copies too: alignment is not
+    transitive, so no pair follows from others. A landmark of many recordings is dealt in blocks of recordings and of
+    queries, so that no task has more than ``BLOCK`` of each; the pairs of a large group of copies stay as many as they are.
     """
     spark = prints.sparkSession
     prints = settle(prints, "prints")
@@ -251,15 +252,15 @@ def align_queries(prints: DataFrame, is_query: Column) -> tuple[DataFrame, DataF
         paired = candidates.join(sets.select(F.col("class").alias("query"), F.col("packed").alias("q")), "query").join(sets.select("class", F.col("packed").alias("r")), "class")
         return settle(paired.select("query", "class", "q", "r").mapInArrow(_alignments, "query bigint, class bigint, offset int, votes bigint, overlap bigint, bit_errors double"), "pairs")
 
-    least = settle(asked.groupBy("key").agg(F.min("class").alias("query")), "least")
-    pairs = aligned(marks.join(least, "key").where("query != class").select("query", "class").distinct())
-    groups = settle(components(pairs.select(F.col("query").alias("a"), F.col("class").alias("b"))), "groups")
-    placed = marks.join(groups.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    placed = settle(placed.join(settle(mixed, "mixed"), "key"), "placed")
-    asking = placed.join(asked, ["key", "class"], "left_semi").join(least, "key").where("class != query").select("key", F.col("class").alias("query"), F.col("root").alias("query_root"))
-    across = placed.join(settle(asking, "asking"), "key").where("root != query_root").select("query", "class").distinct()
-    pairs = pairs.union(aligned(across))
+    # A landmark of one class has that query alone and makes no pair.
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = marks.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").join(asked.groupBy("key").agg(F.count(F.lit(1)).alias("q")), "key")
+    sizes = settle(sizes.select("key", parts("m").alias("m"), parts("q").alias("q")), "sizes")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    left = marks.join(sizes, "key").select("key", "class", of("class", "m").alias("part"), every("q").alias("block"))
+    right = asked.join(sizes, "key").select("key", F.col("class").alias("query"), every("m").alias("part"), of("class", "q").alias("block"))
+    pairs = aligned(left.join(right, ["key", "part", "block"]).where("query != class").select("query", "class").distinct())
     groups = settle(components(pairs.select(F.col("query").alias("a"), F.col("class").alias("b"))), "groups")
     named = named.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     group_ids = settle(named.groupBy("root").agg(F.min("class_id").alias("group_id")), "group-ids")

@@ -24,7 +24,7 @@ def op2_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes as a recording of 8-bit samples (the tables hold no audio), against those with ids divisible by 50.
 
     Rows of kind "member" give each document its class of equal fingerprints and its group of aligned classes; rows of
-    kind "pair" the aligned pairs of a query's class and another class that span the groups.
+    kind "pair" all aligned pairs of a query's class and another class.
     """
     documents = _table(spark, sf_dir, "documents")
     prints = chroma.fingerprint_column(documents, F.col("doc_id"), F.col("text"))

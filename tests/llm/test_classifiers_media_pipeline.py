@@ -170,6 +170,26 @@ def test_align_queries_matches_brute_force(spark):
     assert empty[0].collect() == [] and empty[1].collect() == []
 
 
+def test_every_aligned_pair_of_a_group_is_found(spark):
+    """Copies and clips of one recording: pairs inside a group are neither dropped nor left to be inferred."""
+    rng = np.random.default_rng(16)
+    whole = tune(rng, 8)
+    clip = lambda first, last: bytes(whole[first * 256 : last * 256])
+    media = {1: bytes(whole), 2: clip(8, 240), 50: clip(0, 160), 100: clip(20, 220), 150: clip(60, 240), 200: clip(0, 60), 250: bytes(tune(rng, 3))}
+    frame = spark.createDataFrame([*media.items()], "id bigint, media binary").repartition(3)
+    _, pairs = chroma.align_queries(chroma.fingerprint_column(frame, F.col("id"), F.col("media"), size=1024, hop=256), F.col("id") % 50 == 0)
+    packed = {k: prints_of(np.frombuffer(v, np.uint8), **SIZES) for k, v in media.items()}
+    every = set()
+    for q in (50, 100, 150, 200, 250):
+        for r in packed:
+            best = chroma.best_offset(packed[q], packed[r]) if q != r else None
+            overlap, errors = chroma.bit_errors(packed[q], packed[r], best[0]) if best else (0, 1.0)
+            if overlap >= chroma.LEAST_OVERLAP and errors <= chroma.MOST_BIT_ERRORS:
+                every.add((q, r, *best, overlap))
+    assert {(100, 150), (150, 100), (150, 1), (150, 2)} <= {x[:2] for x in every} and not {(150, 200), (200, 150)} & {x[:2] for x in every}
+    assert sorted((r["query_class_id"], r["class_id"], r["offset"], r["votes"], r["overlap"]) for r in pairs.collect()) == sorted(every)
+
+
 # queries and pipeline
 
 
