@@ -2,11 +2,14 @@
 
 Tokens are words; the most frequent words of the corpus are symbols of their own, all others share hashed symbols. A
 symbol's probability given ``SIDE`` symbols on each side is softmax(tanh(E[left, right] W1 + b1) W2 + b2). A document's
-score is the sum over all its tokens of the log-probability of the true symbol: its masked pseudo-log-likelihood.
+score is the sum over all its tokens of the log-probability of the true word: its masked pseudo-log-likelihood. A word of
+a shared symbol has the symbol's probability times the word's share of the symbol's tokens in the whole corpus, so the
+vocabulary is that of the corpus, whatever its size.
 
-Word counts come from all documents. The network is trained with numpy on windows of all documents, one position in
-``TRAIN_STRIDE``: every partition trains from the common weights, and the partitions' weights are averaged by windows
-seen, ``ROUNDS`` times; sums are taken in fixed point on the executors, so they do not depend on their order.
+Word counts come from all documents and are kept in a table: ``TOLD`` words are sent to the workers, all others are
+joined. The network is trained with numpy on every position of all documents, once: in each of ``ROUNDS`` rounds every
+partition trains from the common weights on its share of the positions, and the partitions' weights are averaged by
+windows seen; sums are taken in fixed point on the executors, so they do not depend on their order.
 
 Defined results: a null or empty text has no tokens, log_prob 0 and a null mean; a text's first and last tokens see a
 padding symbol; rows that repeat an id are scored each; an empty table gives no rows. Only ``doc_id`` and ``text`` are
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -29,11 +32,12 @@ SIDE = 2
 EMBEDDING = 16
 HIDDEN = 32
 ROUNDS = 2
-TRAIN_STRIDE = 32
 MINIBATCH = 256
 SEED = 7
 _FIXED = float(1 << 24)
 _BLOCK = 2048
+#: Words of shared symbols whose counts the workers are sent; it decides where a count is looked up, not what is scored.
+TOLD = 1 << 16
 
 Weights = dict[str, np.ndarray]
 
@@ -128,19 +132,49 @@ def _word_counts(batches):
         yield pa.record_batch({"word": word.view(np.int64), "n": n.astype(np.int64)})
 
 
-def count_words(documents: DataFrame, most: int = OWN_SYMBOLS) -> tuple[list[int], np.ndarray]:
-    """(hashes of the most frequent words, share of each symbol), over all documents; ties go to the smaller hash."""
-    counts = settle(documents.select("text").mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+def word_counts(documents: DataFrame) -> DataFrame:
+    """(word, n) of all documents; words are hashes."""
+    return settle(documents.select("text").mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def _symbol(words: list[int]) -> Column:
+    """The symbol of a word of the counts table; see ``symbols_of``."""
     own = F.array_position(F.array(*[F.lit(w).cast("long") for w in words]), F.col("word")) if words else F.lit(0)
     # the top bits of (word >>> 17) modulo a power of two are its bits 17 to 23
     shared = F.shiftrightunsigned("word", 17).bitwiseAND(F.lit(SYMBOLS - OWN_SYMBOLS - 1)) + OWN_SYMBOLS
-    rows = counts.groupBy(F.when(own > 0, own - 1).otherwise(shared).alias("s")).agg(F.sum("n").alias("n")).collect()  # a row per symbol
+    return F.when(own > 0, own - 1).otherwise(shared)
+
+
+def common_words(counts: DataFrame, most: int = OWN_SYMBOLS) -> tuple[list[int], np.ndarray, dict[int, int]]:
+    """(hashes of the most frequent words, share of each symbol, tokens of each symbol); ties go to the smaller hash."""
+    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    rows = counts.groupBy(_symbol(words).alias("s")).agg(F.sum("n").alias("n")).collect()  # a row per symbol
     shares = np.ones(SYMBOLS)
     for r in rows:
         shares[r["s"]] += r["n"]
+    return words, shares / shares.sum(), {r["s"]: r["n"] for r in rows}
+
+
+def count_words(documents: DataFrame, most: int = OWN_SYMBOLS) -> tuple[list[int], np.ndarray]:
+    """(hashes of the most frequent words, share of each symbol), over all documents."""
+    counts = word_counts(documents)
+    words, shares, _ = common_words(counts, most)
     drop_settled(counts)
-    return words, shares / shares.sum()
+    return words, shares
+
+
+def words_within(counts: DataFrame, words: list[int], totals: dict[int, int]) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """log P(word | its shared symbol): sorted hashes and values of the ``TOLD`` most frequent, and a table (word, within) of all others."""
+    total = F.element_at(F.array(*[F.lit(totals.get(s, 0)).cast("long") for s in range(SYMBOLS)]), F.col("s").cast("int") + 1)
+    shared = counts.withColumn("s", _symbol(words)).where(F.col("s") >= OWN_SYMBOLS).withColumn("within", F.log(F.col("n") / total))
+    told = shared.orderBy(F.desc("n"), "word").limit(TOLD).select("word", "n", "within").toArrow()  # bounded by TOLD
+    rest = None
+    if len(told) == TOLD:
+        n, word = told["n"][-1].as_py(), told["word"][-1].as_py()
+        rest = shared.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word))).select("word", "within")
+    hashes = told["word"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], told["within"].to_numpy()[order], rest
 
 
 def _known(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +183,7 @@ def _known(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return known[order], order.astype(np.int64)
 
 
-def _trained(words: list[int], start, turn: int):
+def _trained(words: list[int], start, turn: int, rounds: int = ROUNDS):
     def run(batches):
         known, number = _known(words)
         weights = {k: v.copy() for k, v in start.value.items()}
@@ -161,7 +195,7 @@ def _trained(words: list[int], start, turn: int):
                 symbols = symbols_of(lexed, known, number)
                 context = contexts(symbols, lexed.first)
                 place = np.arange(len(symbols)) - np.repeat(lexed.first[:-1], lexed.counts())
-                taken = np.flatnonzero(place % TRAIN_STRIDE == (turn * (TRAIN_STRIDE // 2) + 3) % TRAIN_STRIDE)
+                taken = np.flatnonzero(place % rounds == turn)
                 taken = taken[np.argsort(tx.mix(taken.astype(np.uint64)))]  # documents of a chunk mixed
                 train_windows(context[taken], symbols[taken], weights, moments, 0.1 / (1 + turn))
                 windows += len(taken)
@@ -183,10 +217,10 @@ def train(documents: DataFrame, words: list[int], shares: np.ndarray, rounds: in
     weights = start_weights(seed)
     weights["b2"] = np.log(shares).astype(np.float32)
     for turn in range(rounds):
-        trained = documents.select("text").mapInArrow(_trained(words, spark.sparkContext.broadcast(weights), turn), "k int, v bigint")
+        trained = documents.select("text").mapInArrow(_trained(words, spark.sparkContext.broadcast(weights), turn, rounds), "k int, v bigint")
         rows = trained.groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).toArrow()  # a row per weight
-        if not len(rows):
-            return weights
+        if not len(rows):  # no text has a position of this round
+            continue
         flat = np.zeros(len(rows))
         flat[rows["k"].to_numpy()] = rows["v"].to_numpy()
         flat = flat[:-1] / flat[-1] / _FIXED
@@ -200,24 +234,44 @@ def train(documents: DataFrame, words: list[int], shares: np.ndarray, rounds: in
 def _scores(words: list[int], model):
     def run(batches):
         known, number = _known(words)
+        weights, told, within = model.value
         for batch in batches:
             tokens, sums = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            left, n_left = [np.zeros(0, np.int64)], np.zeros(len(batch), np.int64)
             for low, high, data, offsets in tx.chunks(batch.column(1)):
                 lexed = tx.split(data, offsets)
                 symbols = symbols_of(lexed, known, number)
-                found = log_probabilities(contexts(symbols, lexed.first), symbols, model.value)
+                found = log_probabilities(contexts(symbols, lexed.first), symbols, weights).astype(np.float64)
+                shared = np.flatnonzero(symbols >= OWN_SYMBOLS)
+                hashes = lexed.hashes()[shared]
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(told, hashes), len(told) - 1)
+                    hit = told[at] == hashes
+                    found[shared[hit]] += within[at[hit]]
+                    left.append(hashes[~hit].view(np.int64))
+                    n_left[low:high] = np.bincount(lexed.owner()[shared[~hit]], minlength=high - low)
                 tokens[low:high] = lexed.counts()
-                sums[low:high] = np.diff(np.append(0.0, np.cumsum(found, dtype=np.float64))[lexed.first])
-            yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": tokens, "log_prob": sums})
+                sums[low:high] = np.diff(np.append(0.0, np.cumsum(found))[lexed.first])
+            rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_left)), pa.int32()), pa.array(np.concatenate(left)))
+            yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": tokens, "log_prob": sums, "rest": rest})
 
     return run
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_prob, mean_log_prob."""
-    ship(documents.sparkSession)
-    words, shares = count_words(documents)
+    spark = documents.sparkSession
+    ship(spark)
+    counts = word_counts(documents)
+    words, shares, totals = common_words(counts)
     weights = train(documents, words, shares)
-    model = documents.sparkSession.sparkContext.broadcast(weights)
-    scored = documents.select("doc_id", "text").mapInArrow(_scores(words, model), "doc_id bigint, n_tokens bigint, log_prob double")
+    told, within, rest = words_within(counts, words, totals)
+    model = spark.sparkContext.broadcast((weights, told, within))
+    scored = documents.select("doc_id", "text").mapInArrow(_scores(words, model), "doc_id bigint, n_tokens bigint, log_prob double, rest array<bigint>")
+    if rest is not None:
+        scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+        each = scored.select("row", F.explode("rest").alias("word")).join(rest, "word")
+        more = each.groupBy("row").agg(F.sum(F.round(F.col("within") * _FIXED).cast("long")).alias("more"))
+        scored = scored.drop("rest").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce(F.col("more") / _FIXED, F.lit(0.0)))
+    scored = scored.select("doc_id", "n_tokens", "log_prob")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))

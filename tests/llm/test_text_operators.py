@@ -362,6 +362,57 @@ def test_masked_lm_odd_rows(odd, empty):
     assert masked_lm.score_documents(empty).collect() == []
 
 
+def test_masked_lm_trains_on_every_position(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(masked_lm, "train_windows", lambda context, symbols, *rest: seen.extend(map(tuple, np.column_stack([context, symbols]).tolist())))
+    texts = ["one two", "three", "", None, " ".join(f"w{i}" for i in range(100))]
+
+    class Start:
+        value = masked_lm.start_weights()
+
+    for turn in range(masked_lm.ROUNDS):
+        list(masked_lm._trained([], Start, turn)([pa.record_batch({"text": pa.array(texts)})]))
+    _, _, data, offsets = next(tx.chunks(pa.array(texts)))
+    lexed = tx.split(data, offsets)
+    symbols = masked_lm.symbols_of(lexed, *masked_lm._known([]))
+    assert len(symbols) == 103 and sorted(seen) == sorted(map(tuple, np.column_stack([masked_lm.contexts(symbols, lexed.first), symbols]).tolist()))
+
+
+def test_masked_lm_scores_words_not_buckets(spark, monkeypatch):
+    """Words of one shared symbol are told apart by their counts, whether the counts are sent or joined."""
+    monkeypatch.setattr(masked_lm, "train", lambda documents, words, shares: plain)
+    plain = masked_lm.start_weights()
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.3, 40) % 900) for _ in range(60)] + ["", "v1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    n = {}
+    for text in texts:
+        for w in text.split():
+            n[w] = n.get(w, 0) + 1
+    common, _ = masked_lm.count_words(frame)
+    import pyarrow as pa
+
+    symbol = {}
+    for w in n:
+        _, _, data, offsets = next(tx.chunks(pa.array([w])))
+        symbol[w] = int(masked_lm.symbols_of(tx.split(data, offsets), *masked_lm._known(common))[0])
+    total = {s: sum(n[w] for w in n if symbol[w] == s) for s in symbol.values()}
+    expected = []
+    for text in texts:
+        _, _, data, offsets = next(tx.chunks(pa.array([text])))
+        lexed = tx.split(data, offsets)
+        ids = masked_lm.symbols_of(lexed, *masked_lm._known(common))
+        base = masked_lm.log_probabilities(masked_lm.contexts(ids, lexed.first), ids, plain).sum(dtype=float)
+        expected.append(float(base) + sum(math.log(n[w] / total[symbol[w]]) for w in text.split()))
+    assert any(total[symbol[w]] > n[w] for w in n)
+    for told in (1 << 16, 8):
+        monkeypatch.setattr(masked_lm, "TOLD", told)
+        found = {r["doc_id"]: r["log_prob"] for r in masked_lm.score_documents(frame).collect()}
+        assert len(found) == len(texts) and np.allclose([found[i] for i in range(len(texts))], expected, atol=1e-3)
+
+
 def test_fold_is_crc32_of_the_id(spark):
     from tessera.llm.common import fold_of
 
