@@ -1,7 +1,9 @@
 """License scans: base phrases, and licence texts found through a positional index of rare words.
 
-Method. Each licence template is indexed by word and place. Of the licence words in a file, those with the highest
-inverse document frequency (counted over all documents) are looked up; every meeting of a file's place and a template's
+Method. Each licence template is indexed by word and place. Of each template, the words with the highest inverse document
+frequency (counted over all documents) are looked up, by rank within the template and so many that a stretch with enough
+of the template's words cannot miss them, however frequent they are: no table, copy or other licence hides a template.
+Every meeting of a file's place and a template's
 place votes for their difference, so a template that stands in the file, whole or in part, gathers votes at one relative
 position. An aligned template is a finding if enough of its words stand in the aligned stretch and its mandatory key
 phrases stand there word for word.
@@ -72,8 +74,6 @@ TEMPLATES = {
     ),
 }
 
-RARE_WORDS = 16
-LEAST_IDF = 1.5
 LEAST_VOTES = 3
 LEAST_COVER = 0.6
 #: How far places may drift within an aligned stretch, for words put in or left out.
@@ -90,10 +90,6 @@ def words_of(text: bytes) -> list[bytes]:
 _PARTS = {label: words_of(text.encode()) for label, (text, _) in TEMPLATES.items()}
 _KEYS = {label: [words_of(x.encode()) for x in keys] for label, (_, keys) in TEMPLATES.items()}
 VOCABULARY = sorted({w for words in _PARTS.values() for w in words})
-_POSTINGS: dict[bytes, list[tuple[str, int]]] = {}
-for _label, _words in _PARTS.items():
-    for _place, _word in enumerate(_words):
-        _POSTINGS.setdefault(_word, []).append((_label, _place))
 _BASE = [(tuple(w.encode() for w in words), label) for words, label in BASE.items()]
 
 
@@ -110,17 +106,30 @@ def _holds(words: list[bytes], phrase: list[bytes]) -> bool:
     return any(words[i : i + len(phrase)] == phrase for i, w in enumerate(words) if w == phrase[0])
 
 
-def aligned_licences(words: list[bytes], idf: dict[bytes, float]) -> dict[str, tuple[int, float]]:
-    """label: (start, share of the template's words that stand in the aligned stretch) of verified findings."""
-    present = set(words).intersection(_POSTINGS)
-    rare = sorted((w for w in present if idf.get(w, 0.0) >= LEAST_IDF), key=lambda w: (-idf[w], w))[:RARE_WORDS]
-    if len(rare) < LEAST_VOTES:
+def rare_postings(idf: dict[bytes, float]) -> dict[bytes, list[tuple[str, int]]]:
+    """(label, place) of each template's rarest words: of a stretch that reaches LEAST_COVER, LEAST_VOTES or more are among them."""
+    rare: dict[bytes, list[tuple[str, int]]] = {}
+    for label, words in _PARTS.items():
+        ranked = sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))
+        chosen = set(ranked[: len(words) - math.ceil(LEAST_COVER * len(words)) + LEAST_VOTES])
+        for place, word in enumerate(words):
+            if word in chosen:
+                rare.setdefault(word, []).append((label, place))
+    return rare
+
+
+def aligned_licences(words: list[bytes], idf: dict[bytes, float], rare: dict[bytes, list[tuple[str, int]]] | None = None) -> dict[str, tuple[int, float]]:
+    """label: (start, share of the template's words that stand in the aligned stretch) of verified findings. rare: ``rare_postings`` of idf."""
+    present = set(words)
+    # A finding holds its key phrases, so a file without one of them needs no look.
+    may = {label for label, keys in _KEYS.items() if all(present.issuperset(key) for key in keys) and all(_holds(words, key) for key in keys)}
+    if not may:
         return {}
+    rare = rare_postings(idf) if rare is None else rare
     votes: dict[tuple[str, int], set[bytes]] = {}
-    wanted = set(rare)
     for place, word in enumerate(words):
-        if word in wanted:
-            for label, at in _POSTINGS[word]:
+        for label, at in rare.get(word, ()):
+            if label in may:
                 votes.setdefault((label, (place - at) // DRIFT), set()).add(word)
     found: dict[str, tuple[int, float]] = {}
     for label, block in sorted(votes):
@@ -166,12 +175,13 @@ def licence_idf(documents: DataFrame) -> dict[bytes, float]:
 
 def _scans(idf: dict[bytes, float]):
     def run(batches):
+        rare = rare_postings(idf)
         for batch in batches:
             out = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found")}
             for text in batch.column(1).to_pylist():
                 words = words_of((text or "").encode("utf-8", "surrogatepass"))
                 base = base_places(words)
-                found = aligned_licences(words, idf)
+                found = aligned_licences(words, idf, rare)
                 labels = {label for _, label in base}
                 out["n_words"].append(len(words))
                 out["n_base"].append(len(base))

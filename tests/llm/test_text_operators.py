@@ -233,6 +233,25 @@ def test_each_template_is_found(label):
     assert label in found
 
 
+def test_no_frequency_hides_a_template():
+    header = licenses.words_of(("intro " + licenses.TEMPLATES["mit"][0]).encode())
+    for value in (1.1, 0.2, 0.0):
+        assert set(licenses.aligned_licences(header, dict.fromkeys(licenses.VOCABULARY, value))) == {"mit"}
+    rare = {w: 9.0 for label in licenses.TEMPLATES if label != "mit" for w in licenses.words_of(licenses.TEMPLATES[label][0].encode())}
+    others = " ".join(w.decode() for w in sorted(rare))
+    assert "mit" in licenses.aligned_licences(licenses.words_of(f"{others} {licenses.TEMPLATES['mit'][0]}".encode()), dict.fromkeys(licenses.VOCABULARY, 1.6) | rare)
+
+
+def test_every_licence_of_a_file_is_found():
+    notice = " some code between ".join(text for text, _ in licenses.TEMPLATES.values())
+    assert set(licenses.aligned_licences(licenses.words_of(notice.encode()), dict.fromkeys(licenses.VOCABULARY, 5.0))) == set(licenses.TEMPLATES)
+
+
+def test_licence_in_a_table_of_one_row(spark):
+    frame = spark.createDataFrame([(1, licenses.TEMPLATES["bsd"][0])], "doc_id bigint, text string")
+    assert [r["labels"] for r in licenses.scan_licences(frame).collect()] == ["bsd"]
+
+
 # secrets
 
 
