@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,18 +16,27 @@ _scratch_roots: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where a local session has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Bytes of a batch that a Python worker gets, where the session sets no other bound: long texts cannot fill a worker.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this library to the executors' Python workers, once a context, so that they need no install of it."""
+    """Sends this library to the executors' Python workers, once a context, and bounds the batches that they get by bytes."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(bound, None) or 0) < 1 << 31:
+        spark.conf.set(bound, str(BATCH_BYTES))
     context = spark.sparkContext
     package = Path(__file__).resolve().parents[1]
     name = f"{package.name}-llm.zip"

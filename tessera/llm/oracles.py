@@ -66,7 +66,7 @@ i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b
 l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, e.y FROM r JOIN e ON r.c = e.x)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id, (SELECT count(*) FROM e WHERE e.x = w.doc_id) AS n_links
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT d, min(c) AS c FROM r GROUP BY d) m ON m.d = w.doc_id
 """
 

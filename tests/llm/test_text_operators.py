@@ -135,26 +135,35 @@ def test_html_lines(spark):
 # Jaccard
 
 
-def brute_classes(rows, n=5):
+def brute_classes(rows):
+    """(doc_id, n_shingles, component_id, n_links) by comparing every two documents."""
     sets = []
     for _, text in rows:
         w = words(text)
-        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
-    parent = list(range(len(rows)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
-            parent[root(j)] = root(i)
-    ids = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            ids[root(i)] = min(d, ids.get(root(i), d))
-    return sorted([(d, len(s), ids.get(root(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))], key=str)
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        both = Counter(j for x in s for j in holders[x] if j > i)
+        for j, n in both.items():
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                links[i] += 1
+                links[j] += 1
+                root[find(j)] = find(i)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[find(i)] = min(doc, least.get(find(i), doc))
+    return sorted(((doc, len(sets[i]), least.get(find(i)) if sets[i] else doc, links[i]) for i, (doc, _) in enumerate(rows)), key=str)
 
 
 def test_jaccard_classes(odd):
@@ -182,14 +191,42 @@ def test_jaccard_empty(empty):
     assert jaccard.jaccard_classes(empty).collect() == []
 
 
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """2000 near copies of one text, some of which link, with copies of their own, while blocks are small; no pair is a row."""
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(2000):
+        copy = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            copy[at] = f"c{rng.integers(0, 40)}"
+        rows += [(i, " ".join(copy[: int(rng.integers(100, 121))]))] * int(rng.integers(1, 3))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = brute_classes(rows)
+    assert sum(x[3] for x in want) > 100 * len(rows)
+    most = []
+    settled = jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda x, name: (lambda y: (most.append((y.count(), name)), y)[1])(settled(x, name)))
+    assert sorted(map(tuple, jaccard.jaccard_classes(frame).collect()), key=str) == want
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    assert sorted(map(tuple, jaccard.jaccard_classes(frame).collect()), key=str) == want
+    assert max(most)[0] < 60 * len(rows) and all(n <= 30 * len(rows) for n, name in most if name in ("links", "candidates"))
+
+
 def test_signature_bounds_the_overlap():
+    import pyarrow as pa
+
     rng = np.random.default_rng(5)
-    for size in (10, 200, 3000):
-        x = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
-        y = np.unique(np.concatenate([x[: size // 2], rng.integers(0, 1 << 63, size // 3).astype(np.uint64)]))
-        true = len(np.intersect1d(x, y))
-        for a, b in ((16, 16), (jaccard.signature_longs(len(x)), jaccard.signature_longs(len(y))), (64, 16)):
-            assert true <= jaccard.most_common(jaccard.signature(x, a), jaccard.signature(y, b), len(x), len(y)) <= min(len(x), len(y))
+    sets = [np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for size in (10, 200, 1000, 3000)]
+    sets += [np.unique(np.concatenate([x[: len(x) // 2], rng.integers(0, 1 << 63, len(x) // 3).astype(np.uint64)])) for x in sets]
+    sizes = np.array([len(x) for x in sets])
+    bits = [jaccard.signature(x, jaccard.signature_longs(len(x))) for x in sets]
+    bits[1] = bits[1][:0]  # not sent along: sizes alone bound
+    signatures = jaccard._widths(pa.array(bits, pa.list_(pa.int64())))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(8), np.arange(8)))
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    bound = jaccard.most_common(signatures, sizes, i, j)
+    assert (true <= bound).all() and (bound <= np.minimum(sizes[i], sizes[j])).all() and (bound < np.minimum(sizes[i], sizes[j])).any()
 
 
 def test_components(spark):
