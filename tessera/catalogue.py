@@ -10,8 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import validate
 from .engine import Engine
 from .operators import relational as ops
+from .plans.parser import parse
+from .sources.tables import TableDef, new_column
+from .types import Kind
 from .validate import validate_frame
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -214,6 +218,58 @@ INDEX = {
 }
 
 
+#: A table definition that the tables of the scale factors are validated against, and expressions over it.
+CUSTOMER = TableDef(
+    "customer",
+    (new_column("c_custkey", Kind.INTEGER, primary_key=True), new_column("c_name", Kind.TEXT, nullable=False), new_column("c_acctbal", Kind.FLOAT, nullable=False), new_column("c_mktsegment", Kind.TEXT)),
+)
+_KINDS = (Kind.INTEGER, Kind.FLOAT, Kind.TEXT, Kind.BOOLEAN)
+EXPRESSIONS = {"c_custkey + 1": "INTEGER", "c_custkey * c_acctbal": "FLOAT", "UPPER(c_name)": "TEXT", "c_acctbal > 0": "BOOLEAN", "AVG(c_custkey)": "FLOAT", "c_name + 1": "error", "nope": "error"}
+
+
+def _null_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """V1, V2: nulls in NOT NULL columns of whole tables; text that is no number counts as a null there."""
+    frame = spark.read.parquet(f"{folder}/customer.parquet").withColumn("c_name", F.expr("nullif(c_mktsegment, 'BUILDING')"))
+    return validate.null_counts(frame, CUSTOMER)
+
+
+def _kind_or_error(find: Callable[[], Kind]) -> str:
+    try:
+        return find().value
+    except validate.ValidationError:
+        return "error"
+
+
+def _result_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """V3: the kind that every operator gives for every two kinds."""
+    cells = [(a.value, op, b.value, _kind_or_error(lambda: validate.result_kind(a, op, b))) for a in _KINDS for op in ("+", "*", "/", "%", "=", "<", "AND") for b in _KINDS]
+    return spark.createDataFrame(cells, "l string, op string, r string, kind string")
+
+
+_RESULT_KINDS = """
+WITH k AS (SELECT unnest(['INTEGER', 'FLOAT', 'TEXT', 'BOOLEAN']) AS k), o AS (SELECT unnest(['+', '*', '/', '%', '=', '<', 'AND']) AS op)
+SELECT a.k AS l, op, b.k AS r,
+       CASE WHEN op = 'AND' THEN CASE WHEN a.k = 'BOOLEAN' AND b.k = 'BOOLEAN' THEN 'BOOLEAN' ELSE 'error' END
+            WHEN op IN ('=', '<') THEN CASE WHEN a.k = b.k OR (a.k IN ('INTEGER', 'FLOAT') AND b.k IN ('INTEGER', 'FLOAT')) THEN 'BOOLEAN' ELSE 'error' END
+            WHEN a.k = 'INTEGER' AND b.k = 'INTEGER' THEN 'INTEGER'
+            WHEN op <> '%' AND a.k IN ('INTEGER', 'FLOAT') AND b.k IN ('INTEGER', 'FLOAT') THEN 'FLOAT'
+            WHEN op = '+' AND a.k = 'TEXT' AND b.k = 'TEXT' THEN 'TEXT' ELSE 'error' END AS kind
+FROM k a, o, k b"""
+
+
+def _expression_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """V4: kinds of expressions over a table."""
+    kinds = [(text, _kind_or_error(lambda: validate.expression_kind(parse(f"SELECT {text} FROM customer").outputs[0].expression, CUSTOMER))) for text in EXPRESSIONS]
+    return spark.createDataFrame(kinds, "expression string, kind string")
+
+
+VALIDATION = {
+    "validate_null_counts": (_null_counts, "SELECT * FROM (SELECT 'c_custkey' AS \"column\", count(*) - count(c_custkey) AS nulls FROM customer UNION ALL SELECT 'c_name', count(*) - count(nullif(c_mktsegment, 'BUILDING')) FROM customer UNION ALL SELECT 'c_acctbal', count(*) - count(c_acctbal) FROM customer)"),
+    "validate_result_kinds": (_result_kinds, _RESULT_KINDS),
+    "validate_expression_kinds": (_expression_kinds, "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in EXPRESSIONS.items()) + ") v(expression, kind)"),
+}
+
+
 @functools.cache
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return (
@@ -221,7 +277,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         | {k: _statement(v[0]) for k, v in DIFFERENT.items()}
         | {k: _rounded(v) for k, v in ROUNDED.items()}
         | {k: _change(v[0], v[1]) for k, v in CHANGES.items()}
-        | {k: v[0] for k, v in INDEX.items()}
+        | {k: v[0] for k, v in (INDEX | VALIDATION).items()}
         | {"dml_rows_affected": _status}
     )
 
@@ -234,7 +290,7 @@ def oracles() -> dict[str, str]:
         | {k: v[1] for k, v in DIFFERENT.items()}
         | rounded
         | {k: v[2] for k, v in CHANGES.items()}
-        | {k: v[1] for k, v in INDEX.items()}
+        | {k: v[1] for k, v in (INDEX | VALIDATION).items()}
         | {"dml_rows_affected": "SELECT CAST(x AS BIGINT) AS rows_affected FROM (VALUES (2), (0)) v(x)"}
     )
 

@@ -26,16 +26,66 @@ def widened(value: Typed) -> Column:
     return column.cast(SPARK_TYPES[kind]) if kind in NUMERIC else column
 
 
-def arithmetic(op: str, left: Typed, right: Typed) -> Typed:
-    """+ - * / %: integers stay integers, / truncates between integers, % takes integers only, text + text joins."""
-    kinds = {left[1], right[1]}
+def arithmetic_kind(op: str, left: Kind, right: Kind) -> Kind:
+    """Integers stay integers, % takes integers only, text + text joins."""
+    kinds = {left, right}
     if op == "+" and kinds <= {Kind.TEXT, Kind.NULL} and Kind.TEXT in kinds:
-        return F.concat(left[0], right[0]), Kind.TEXT
-    if not kinds <= {*NUMERIC, Kind.NULL}:
-        raise TypeMismatch(f"{left[1].value} {op} {right[1].value}")
-    kind = Kind.FLOAT if Kind.FLOAT in kinds else Kind.INTEGER
-    if op == "%" and kind is Kind.FLOAT:
-        raise TypeMismatch(f"{left[1].value} % {right[1].value}")
+        return Kind.TEXT
+    if not kinds <= {*NUMERIC, Kind.NULL} or (op == "%" and Kind.FLOAT in kinds):
+        raise TypeMismatch(f"{left.value} {op} {right.value}")
+    return Kind.FLOAT if Kind.FLOAT in kinds else Kind.INTEGER
+
+
+def comparison_kind(op: str, left: Kind, right: Kind) -> Kind:
+    """Numbers compare with numbers, dates and timestamps with each other and with ISO text, all else within its kind."""
+    kinds = {left, right}
+    alike = left is right or Kind.NULL in kinds or kinds <= set(NUMERIC) or kinds <= set(TEMPORAL) or (Kind.TEXT in kinds and kinds & set(TEMPORAL))
+    if not alike or (left is Kind.BLOB and op not in ("=", "<>")):
+        raise TypeMismatch(f"{left.value} {op} {right.value}")
+    return Kind.BOOLEAN
+
+
+def condition_kind(kind: Kind) -> Kind:
+    if kind not in (Kind.BOOLEAN, Kind.NULL):
+        raise TypeMismatch(f"a condition must be BOOLEAN, not {kind.value}")
+    return Kind.BOOLEAN
+
+
+def number_kind(of: str, kind: Kind) -> Kind:
+    """The kind of what takes one number and gives one; NULL counts as an integer."""
+    if kind not in (*NUMERIC, Kind.NULL):
+        raise TypeMismatch(f"{of}({kind.value})")
+    return Kind.INTEGER if kind is Kind.NULL else kind
+
+
+def call_kind(name: str, arguments: list[Kind]) -> Kind:
+    if name not in ("UPPER", "LOWER", "ABS"):
+        raise ColumnNotFound(f"unknown function {name}")
+    if len(arguments) != 1:
+        raise InvalidOperation(f"{name} expected 1 argument, got {len(arguments)}")
+    if name == "ABS":
+        return number_kind(name, arguments[0])
+    if arguments[0] not in (Kind.TEXT, Kind.NULL):
+        raise TypeMismatch(f"{name}({arguments[0].value})")
+    return Kind.TEXT
+
+
+def aggregate_kind(name: str, argument: Kind | None) -> Kind:
+    if name == "COUNT":
+        return Kind.INTEGER
+    if argument is None:
+        raise InvalidOperation(f"{name}(*)")
+    if name in ("SUM", "AVG"):
+        kind = number_kind(name, argument)
+        return Kind.FLOAT if name == "AVG" else kind
+    return argument
+
+
+def arithmetic(op: str, left: Typed, right: Typed) -> Typed:
+    """+ - * / %, / truncating between integers."""
+    kind = arithmetic_kind(op, left[1], right[1])
+    if kind is Kind.TEXT:
+        return F.concat(left[0], right[0]), kind
     a, b = (x[0].cast(SPARK_TYPES[kind]) for x in (left, right))
     match op:
         case "+":
@@ -52,8 +102,9 @@ def arithmetic(op: str, left: Typed, right: Typed) -> Typed:
 
 
 def comparison(op: str, left: Typed, right: Typed) -> Typed:
-    """Numbers compare across widths, dates and timestamps with each other and with ISO text, all else within its kind."""
+    """A comparison of two values that may be compared; numbers meet at the wider width, text becomes a date or timestamp."""
     (a, ka), (b, kb) = left, right
+    kind = comparison_kind(op, ka, kb)
     if ka in NUMERIC and kb in NUMERIC:
         a, b = widened(left), widened(right)
         if ka is not kb:
@@ -62,18 +113,13 @@ def comparison(op: str, left: Typed, right: Typed) -> Typed:
         a = a.cast(SPARK_TYPES[kb])
     elif kb is Kind.TEXT and ka in TEMPORAL:
         b = b.cast(SPARK_TYPES[ka])
-    elif not (ka is kb or Kind.NULL in (ka, kb) or (ka in TEMPORAL and kb in TEMPORAL)):
-        raise TypeMismatch(f"{ka.value} {op} {kb.value}")
-    if ka is Kind.BLOB and op not in ("=", "<>"):
-        raise TypeMismatch(f"BLOB {op} BLOB")
-    return COMPARISONS[op](a, b), Kind.BOOLEAN
+    return COMPARISONS[op](a, b), kind
 
 
 def truth(value: Typed) -> Column:
     """A condition; anything but BOOLEAN or NULL is an error."""
     column, kind = value
-    if kind not in (Kind.BOOLEAN, Kind.NULL):
-        raise TypeMismatch(f"a condition must be BOOLEAN, not {kind.value}")
+    condition_kind(kind)
     return column.cast("boolean")
 
 
@@ -91,38 +137,24 @@ def common_kind(kinds: list[Kind]) -> Kind:
 
 def call(name: str, arguments: list[Typed]) -> Typed:
     """UPPER, LOWER and ABS."""
-    if name not in ("UPPER", "LOWER", "ABS"):
-        raise ColumnNotFound(f"unknown function {name}")
-    if len(arguments) != 1:
-        raise InvalidOperation(f"{name} expected 1 argument, got {len(arguments)}")
-    column, kind = arguments[0]
-    if name == "ABS":
-        if kind not in (*NUMERIC, Kind.NULL):
-            raise TypeMismatch(f"ABS({kind.value})")
-        kind = Kind.INTEGER if kind is Kind.NULL else kind
-        return F.abs(column.cast(SPARK_TYPES[kind])), kind
-    if kind not in (Kind.TEXT, Kind.NULL):
-        raise TypeMismatch(f"{name}({kind.value})")
-    return (F.upper if name == "UPPER" else F.lower)(column.cast("string")), Kind.TEXT
+    kind = call_kind(name, [k for _, k in arguments])
+    column = arguments[0][0].cast(SPARK_TYPES[kind])
+    return {"ABS": F.abs, "UPPER": F.upper, "LOWER": F.lower}[name](column), kind
 
 
 def aggregate(name: str, argument: Typed | None, distinct: bool = False) -> Typed:
     """COUNT, SUM, AVG, MIN and MAX; SUM keeps integers as bigint and raises when they overflow."""
+    kind = aggregate_kind(name, argument and argument[1])
     if name == "COUNT":
         if argument is None:
-            return F.count(F.lit(1)), Kind.INTEGER
-        return (F.count_distinct if distinct else F.count)(argument[0]), Kind.INTEGER
-    if argument is None:
-        raise InvalidOperation(f"{name}(*)")
-    column, kind = argument
+            return F.count(F.lit(1)), kind
+        return (F.count_distinct if distinct else F.count)(argument[0]), kind
+    column, given = argument
     if name in ("SUM", "AVG"):
-        if kind not in (*NUMERIC, Kind.NULL):
-            raise TypeMismatch(f"{name}({kind.value})")
-        kind = Kind.INTEGER if kind is Kind.NULL else kind
-        column = column.cast(SPARK_TYPES[kind])
+        column = column.cast(SPARK_TYPES[number_kind(name, given)])
         if name == "AVG":
             if distinct:
                 raise InvalidOperation("AVG(DISTINCT)")
-            return F.avg(column), Kind.FLOAT
+            return F.avg(column), kind
         return (F.sum_distinct if distinct else F.sum)(column), kind
     return (F.min if name == "MIN" else F.max)(column), kind

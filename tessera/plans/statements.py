@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import DuplicateColumn, InvalidOperation
+from ..errors import DuplicateColumn, InvalidOperation, StorageError
 from ..functions import scalar
 from ..sources.tables import ColumnDef, TableDef, TableStore, new_column
 from ..types import SPARK_TYPES, cast_column, stored_value
@@ -81,14 +81,15 @@ def _touched(store: TableStore, table: TableDef, condition: Column, broken: Colu
     found = frame.groupBy("__file").agg(*measures).collect()  # a row per file at most
     if broken is not None and any(r["bad"] for r in found):
         raise InvalidOperation("NULL in a NOT NULL column")
-    return sum(r["n"] for r in found), [r["__file"] for r in found]
+    return sum(r["n"] for r in found), [store.plain_path(r["__file"]) for r in found]
 
 
 def _rewrite(store: TableStore, table: TableDef, files: list[str], change: Callable[[DataFrame], DataFrame]) -> None:
     """A new version in which ``files`` are replaced by their changed rows."""
-    plain = {f.partition(":")[2].lstrip("/"): f for f in files} | {f.lstrip("/"): f for f in files}
-    changed = tuple(f for f in table.files if f.lstrip("/") in plain or f.partition(":")[2].lstrip("/") in plain)
-    kept = tuple(f for f in table.files if f not in changed)
+    touched = set(files)
+    if unknown := touched - set(table.files):
+        raise StorageError(f"{len(unknown)} files with affected rows are not in the manifest of {table.name}")
+    changed, kept = (tuple(f for f in table.files if (f in touched) is taken) for taken in (True, False))
     store.commit(replace(table, files=kept + store.write(table, change(store.read(table, changed)))))
 
 

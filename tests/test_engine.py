@@ -4,11 +4,9 @@ import pytest
 
 from tessera import errors as e
 
-PRODUCTS = [
-    (1, "Laptop", "Electronics", 1200.0), (2, "Mouse", "Electronics", 25.0), (3, "Keyboard", "Electronics", 75.0), (4, "Desk Chair", "Furniture", 150.0),
-    (5, "Monitor", "Electronics", 300.0), (6, "Desk Lamp", "Furniture", 35.0), (7, "USB Cable", "Electronics", 10.0), (8, "Webcam", "Electronics", 50.0),
-    (9, "Office Desk", "Furniture", 250.0), (10, "Mouse Pad", "Accessories", 5.0), (11, "External HDD", "Electronics", 80.0), (12, "Speakers", "Electronics", 40.0),
-    (13, "Coffee Mug", "Accessories", 15.0), (14, "Pen Holder", "Accessories", None),
+GOODS = [
+    (1, "Kayak", "Water", 640.0), (2, "Paddle", "Water", 48.0), (3, "Tent", "Camp", 210.0), (4, "Stove", "Camp", 72.5), (5, "Rope", "Climb", 99.0),
+    (6, "Harness", "Climb", 61.0), (7, "Drysuit", "Water", 512.0), (8, "Lantern", "Camp", 8.5), (9, "Chalk", "Climb", None),
 ]
 
 
@@ -17,7 +15,7 @@ def shop(spark):
     from tessera.engine import Engine
 
     engine = Engine(spark)
-    engine.register("products", spark.createDataFrame(PRODUCTS, "id bigint, name string, category string, price double"))
+    engine.register("goods", spark.createDataFrame(GOODS, "id bigint, name string, category string, price double"))
     engine.register("nums", spark.createDataFrame([(-7, 2.5, "x"), (7, 0.0, None), (None, None, "Y")], "a bigint, b double, c string"))
     return engine
 
@@ -27,18 +25,18 @@ def rows(engine, text):
 
 
 def test_aggregates(shop):
-    assert rows(shop, "SELECT COUNT(*) FROM products") == [(14,)]
-    found = rows(shop, "SELECT category, COUNT(*), SUM(price), AVG(price), MIN(price), MAX(price) FROM products GROUP BY category ORDER BY category")
-    assert found == [("Accessories", 3, 20.0, 10.0, 5.0, 15.0), ("Electronics", 8, 1780.0, 222.5, 10.0, 1200.0), ("Furniture", 3, 435.0, 145.0, 35.0, 250.0)]
-    assert rows(shop, "SELECT category, SUM(price) FROM products GROUP BY category HAVING SUM(price) > 500.0") == [("Electronics", 1780.0)]
-    found = rows(shop, "SELECT category, AVG(price) AS avg_price FROM products WHERE price > 10.00 GROUP BY category HAVING COUNT(*) >= 2 ORDER BY avg_price DESC")
-    assert found[0][0] == "Electronics" and math.isclose(found[0][1], 1770 / 7) and found[1] == ("Furniture", 145.0)
-    assert rows(shop, "SELECT COUNT(*), SUM(price) FROM products WHERE id > 100") == [(0, None)]
-    assert rows(shop, "SELECT COUNT(price), COUNT(DISTINCT category) FROM products") == [(13, 3)]
+    assert rows(shop, "SELECT COUNT(*) FROM goods") == [(9,)]
+    found = rows(shop, "SELECT category, COUNT(*), SUM(price), AVG(price), MIN(price), MAX(price) FROM goods GROUP BY category ORDER BY category")
+    assert found == [("Camp", 3, 291.0, 97.0, 8.5, 210.0), ("Climb", 3, 160.0, 80.0, 61.0, 99.0), ("Water", 3, 1200.0, 400.0, 48.0, 640.0)]
+    assert rows(shop, "SELECT category, SUM(price) FROM goods GROUP BY category HAVING SUM(price) > 300.0") == [("Water", 1200.0)]
+    found = rows(shop, "SELECT category, AVG(price) AS mean FROM goods WHERE price > 50.00 GROUP BY category HAVING COUNT(*) >= 2 ORDER BY mean DESC")
+    assert [x for x, _ in found] == ["Water", "Camp", "Climb"] and math.isclose(found[1][1], 141.25)
+    assert rows(shop, "SELECT COUNT(*), SUM(price) FROM goods WHERE id > 100") == [(0, None)]
+    assert rows(shop, "SELECT COUNT(price), COUNT(DISTINCT category) FROM goods") == [(8, 3)]
 
 
 def test_names(shop):
-    frame = shop.sql("SELECT name, COUNT(*), SUM(price), id % 5, id AS k FROM products GROUP BY name, id % 5, id")
+    frame = shop.sql("SELECT name, COUNT(*), SUM(price), id % 5, id AS k FROM goods GROUP BY name, id % 5, id")
     assert frame.columns == ["name", "COUNT(*)", "SUM(price)", "(id % 5)", "k"]
 
 
@@ -73,8 +71,8 @@ def test_order(shop):
     assert [r[0] for r in rows(shop, "SELECT a FROM nums ORDER BY a")] == [None, -7, 7]
     assert [r[0] for r in rows(shop, "SELECT a FROM nums ORDER BY a DESC")] == [7, -7, None]
     assert [r[0] for r in rows(shop, "SELECT c FROM nums ORDER BY CASE WHEN c IS NULL THEN 0 ELSE 1 END, a DESC")] == [None, "x", "Y"]
-    assert [r[0] for r in rows(shop, "SELECT name FROM products ORDER BY price DESC, id LIMIT 2")] == ["Laptop", "Monitor"]
-    assert len(rows(shop, "SELECT id FROM products ORDER BY 1")) == 14  # a constant, not an ordinal
+    assert [r[0] for r in rows(shop, "SELECT name FROM goods ORDER BY price DESC, id LIMIT 2")] == ["Kayak", "Drysuit"]
+    assert len(rows(shop, "SELECT id FROM goods ORDER BY 1")) == 9  # a constant, not an ordinal
 
 
 def test_resolution_errors(shop):
@@ -88,7 +86,7 @@ def test_resolution_errors(shop):
     with pytest.raises(e.DuplicateColumn):
         shop.sql("SELECT * FROM nums x JOIN nums y ON x.a = y.a")
     with pytest.raises(e.PlanningError):
-        shop.sql("SELECT name, COUNT(*) FROM products GROUP BY category")
+        shop.sql("SELECT name, COUNT(*) FROM goods GROUP BY category")
     with pytest.raises(e.CatalogError):
         shop.sql("DELETE FROM nums")
 
@@ -239,3 +237,43 @@ def test_plan_prunes_and_pushes(spark, tmp_path):
     engine.register("t", spark.read.parquet(str(tmp_path / "t")))
     plan = engine.sql("SELECT x FROM t WHERE id > 90")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,90)" in plan and "w:string" not in plan
+
+
+@pytest.mark.parametrize("name", ["with space", "per%41cent", "a+b", "plain"])
+def test_changes_reach_files_on_odd_paths(spark, tmp_path, name):
+    from tessera.engine import Engine
+
+    engine = Engine(spark, str(tmp_path / name))
+    engine.sql("CREATE TABLE t (id INT PRIMARY KEY, v TEXT)")
+    engine.sql("INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    engine.sql("INSERT INTO t VALUES (3, 'c')")
+    assert rows(engine, "UPDATE t SET v = 'x' WHERE id = 1")[0][1] == 1
+    assert rows(engine, "DELETE FROM t WHERE id = 3")[0][1] == 1
+    assert rows(engine, "SELECT id, v FROM t ORDER BY id") == [(1, "x"), (2, "b")]
+
+
+def test_lost_statements_leave_no_lock(engine):
+    """A driver that is lost after its files, or after its draft, leaves the table as it was and open to the next statement."""
+    engine.sql("CREATE TABLE t (id INT PRIMARY KEY)")
+    engine.sql("INSERT INTO t VALUES (1)")
+    table, folder = engine.definition("t"), f"{engine.store.root}/t"
+    engine.store.write(table, engine.store.read(table))
+    with open(f"{folder}/_draft-lost.json", "w") as out:
+        out.write('{"name": ')
+    assert rows(engine, "SELECT id FROM t") == [(1,)]
+    engine.sql("INSERT INTO t VALUES (2)")
+    engine.sql("UPDATE t SET id = id + 10 WHERE id = 2")
+    assert rows(engine, "SELECT id FROM t ORDER BY id") == [(1,), (12,)]
+    assert engine.store.vacuum("t") >= 4 and engine.store.vacuum("t") == 0
+    assert rows(engine, "SELECT id FROM t ORDER BY id") == [(1,), (12,)]
+
+
+def test_compact_sorts_by_the_key(engine):
+    engine.sql("CREATE TABLE t (id INT PRIMARY KEY, v TEXT)")
+    for i in (3, 1, 2):
+        engine.sql(f"INSERT INTO t VALUES ({i}, 'v{i}')")
+    version = engine.definition("t").version
+    engine.store.compact("t")
+    after = engine.definition("t")
+    assert after.version == version + 1 and len(after.files) == 1
+    assert rows(engine, "SELECT id, v FROM t") == [(1, "v1"), (2, "v2"), (3, "v3")]

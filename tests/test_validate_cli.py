@@ -52,8 +52,8 @@ def test_expression_errors(text):
 
 
 def test_conversions():
-    assert v.convert_to(5, Kind.FLOAT) == 5.0 and v.convert_to(2.0, Kind.INTEGER) == 2 and v.convert_to("Yes", Kind.BOOLEAN) is True and v.convert_to(1.0, Kind.TEXT) == "1"
-    for value, target, error in ((2.5, Kind.INTEGER, v.ValueOutOfRange), ("abc", Kind.INTEGER, v.KindMismatch), (" 12 ", Kind.INTEGER, v.KindMismatch), ("2024", Kind.DATE, v.InvalidDate), ("x", Kind.TIMESTAMP, v.InvalidTimestamp)):
+    assert v.convert_to(5, Kind.FLOAT) == 5.0 and v.convert_to(2.0, Kind.INTEGER) == 2 and v.convert_to("Yes", Kind.BOOLEAN) is True and v.convert_to(1.0, Kind.TEXT) == "1" and v.convert_to("2024-02-29", Kind.DATE).day == 29
+    for value, target, error in ((2.5, Kind.INTEGER, v.ValueOutOfRange), ("abc", Kind.INTEGER, v.KindMismatch), (" 12 ", Kind.INTEGER, v.KindMismatch), ("2024", Kind.DATE, v.InvalidDate), ("2024-02-30", Kind.DATE, v.InvalidDate), ("a-b-c", Kind.DATE, v.InvalidDate), ("x", Kind.TIMESTAMP, v.InvalidTimestamp)):
         with pytest.raises(error):
             v.convert_to(value, target)
 
