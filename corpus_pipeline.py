@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard, lines, mixing, toxicity
-from tessera.llm.common import settle, shared_folder
+from tessera.llm.common import drop_settled, settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A source is far larger than a web site, so a line that repeats is a smaller share of it, on more documents.
+LINE_RATIO, LINE_PAGES = 0.005, 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate of their source; n_chars follows the text."""
-    kept = lines.drop_boilerplate_lines(docs, F.col("source"))
+    kept = lines.drop_boilerplate_lines(docs, F.col("source"), max_ratio=LINE_RATIO, min_pages=LINE_PAGES, texts=2)
     changed = F.length("text").cast("long")
     return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(changed)).select(COLUMNS)
 
@@ -59,9 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/tessera-pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        after = settle(stage(spark, docs, sf_dir), f"pipeline-{number}-{name}")
+        if number:
+            drop_settled(docs)
+        docs = after
     return docs
