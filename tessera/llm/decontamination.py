@@ -1,18 +1,20 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark texts are cut into passages; the passages' TF-IDF matrix, with document frequencies of the whole corpus, goes
-through a distributed randomised SVD, which gives the latent space. Every window of every document is folded into that
-space, and windows near a passage by cosine become candidates. A candidate is decided on words: the longest common
-subsequence of the benchmark text and the document's stretch around the window covers nearly all of the text, or a good
-part of it together with the text's answer, its last sentence - so paraphrases that keep the answer are found too.
-
-The benchmark is the stated query set: it is taken in blocks of passages, each with a space of its own of a rank that
-reaches the block's size, so a larger benchmark means more blocks, not a poorer space. Documents are read once for the
-frequencies and once for each ``BLOCKS_AT_ONCE`` blocks; no document leaves its partition.
+through a distributed randomised SVD that keeps half as many directions as there are passages: the latent space. Every
+window of every document is folded into that space, and windows near a passage become candidates. A projection keeps
+only a part of a passage, more or less by passage, so nearness is the cosine of window and passage as seen in the space,
+over the share of the passage's length that the space keeps: a window that is the passage has 1. A candidate is decided
+on words: the longest common subsequence of the benchmark text and the document's stretch around the window covers nearly
+all of the text, or a good part of it together with the text's answer, its last sentence - so paraphrases that keep the
+answer are found too. A benchmark text of fewer than ``LEAST_WORDS`` words is found where its words stand one after the other.
+
+The benchmark is the stated query set: it is taken in blocks of passages, each with a space of its own, so a larger
+benchmark means more blocks, not a poorer space. Documents are read once for the frequencies and once for each
+``BLOCKS_AT_ONCE`` blocks; no document leaves its partition.
 
 Words are runs of ASCII letters, digits and non-ASCII characters of the text in lower case. Defined results: null and empty texts
-on either side match nothing; a benchmark text of fewer than ``LEAST_WORDS`` words is not searched for; benchmark rows
-that repeat an id or a text are items of their own; rows that repeat a document id are searched each; empty tables give
+on either side match nothing, nor do texts without words; benchmark rows that repeat an id or a text are items of their own; rows that repeat a document id are searched each; empty tables give
 no matches, and then no document goes. Columns besides doc_id and text pass through ``remove_contaminated`` untouched.
 """
 
@@ -31,16 +33,16 @@ from .common import ship
 
 FREQUENCY_SLOTS = 1 << 17
 #: Words of a benchmark passage, of a document's window, and between windows.
-PASSAGE, WINDOW, STEP = 64, 32, 16
-#: Passages of a block, and most dimensions of its latent space.
-BLOCK, RANK = 256, 256
+PASSAGE, WINDOW, STEP = 64, 48, 16
+#: Passages of a block; its latent space has a dimension for every two of them.
+BLOCK, PASSAGES_A_DIMENSION = 512, 2
 BLOCKS_AT_ONCE = 8
 POWER_ROUNDS = 2
-LEAST_COSINE = 0.35
+#: Least nearness of a candidate, and least share of a window's squared weights that the benchmark's words have.
+LEAST_NEARNESS, LEAST_SHARE = 0.25, 0.2
 LEAST_WORDS = 5
 #: Share of a text's words in the longest common subsequence: enough alone; enough with the answer; and of the answer.
 SURE, LIKELY, ANSWER = 0.8, 0.5, 0.9
-MOST_ANSWER_WORDS = 12
 SEED = 5
 
 
@@ -56,7 +58,7 @@ class Block:
     vocabulary: np.ndarray
     weights: np.ndarray
     basis: np.ndarray
-    passages: np.ndarray
+    passages: np.ndarray  # in the space, over what it keeps of each
     owners: np.ndarray
 
 
@@ -95,24 +97,26 @@ def inverse_frequencies(documents: DataFrame) -> np.ndarray:
 
 
 def read_items(rows: list) -> list[Item]:
-    """Items of benchmark rows (item_id, text) that are long enough to search for."""
+    """Items of benchmark rows (item_id, text) that have words."""
     items = []
     for item_id, text in rows:
         data, offsets = tx.raw(pc.utf8_lower(pa.array([text], pa.string())))
         words, hashes = _lex(data, offsets)
-        if len(hashes) < LEAST_WORDS:
+        if not len(hashes):
             continue
         stops = np.flatnonzero(np.isin(data, np.frombuffer(b".!?\n", np.uint8)))
         begins = words.starts
         inner = [s for s in stops if begins[0] < s < begins[-1]]
         answer = hashes[np.searchsorted(begins, inner[-1]) :] if inner else hashes[-max(1, len(hashes) // 4) :]
-        items.append(Item(item_id, hashes, answer[-MOST_ANSWER_WORDS:]))
+        items.append(Item(item_id, hashes, answer))
     return items
 
 
 def _passages(items: list[Item]) -> list[tuple[int, np.ndarray]]:
     found = []
     for i, item in enumerate(items):
+        if len(item.words) < LEAST_WORDS:
+            continue
         for at in range(0, max(1, len(item.words) - PASSAGE // 2), PASSAGE // 2):
             found.append((i, item.words[at : at + PASSAGE]))
     return found
@@ -133,7 +137,7 @@ def _sketch(directions):
     return run
 
 
-def latent_basis(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int = RANK, seed: int = SEED, parts: int = 2) -> np.ndarray:
+def latent_basis(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]], width: int, rank: int, seed: int = SEED, parts: int = 2) -> np.ndarray:
     """(width, k): leading right singular directions of the matrix with these sparse rows, by a randomised SVD.
 
     The passes over the matrix, A^T (A X), run on the executors; the driver keeps matrices of a block's vocabulary by
@@ -158,9 +162,12 @@ def latent_basis(spark: SparkSession, rows: list[tuple[np.ndarray, np.ndarray]],
 
 
 def build_blocks(spark: SparkSession, items: list[Item], idf: np.ndarray) -> list[Block]:
-    passages, blocks = _passages(items), []
-    for low in range(0, len(passages), BLOCK):
-        part = passages[low : low + BLOCK]
+    passages, blocks, high = _passages(items), [], 0
+    while high < len(passages):
+        low, high = high, min(high + BLOCK, len(passages))
+        while high < len(passages) and passages[high][0] == passages[high - 1][0]:  # an item stays within a block
+            high += 1
+        part = passages[low:high]
         vocabulary = np.unique(np.concatenate([p for _, p in part]))
         weights = idf[_slots(vocabulary)]
         rows = []
@@ -168,9 +175,10 @@ def build_blocks(spark: SparkSession, items: list[Item], idf: np.ndarray) -> lis
             at, n = np.unique(np.searchsorted(vocabulary, words), return_counts=True)
             value = n * weights[at]
             rows.append((at.astype(np.int32), value / max(float(np.linalg.norm(value)), 1e-9)))
-        basis = latent_basis(spark, rows, len(vocabulary))
+        basis = latent_basis(spark, rows, len(vocabulary), -(-len(rows) // PASSAGES_A_DIMENSION))
         folded = np.stack([value.astype(np.float32) @ basis[at] for at, value in rows])
-        blocks.append(Block(vocabulary, weights, basis, folded, np.array([i for i, _ in part])))
+        kept = np.square(folded).sum(1, keepdims=True)
+        blocks.append(Block(vocabulary, weights, basis, folded / np.maximum(kept, 1e-3), np.array([i for i, _ in part])))
     return blocks
 
 
@@ -195,7 +203,7 @@ def decide(item: Item, stretch: np.ndarray) -> tuple[float, bool, bool]:
     return share, answer, share >= SURE or (share >= LIKELY and answer)
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, items: list[Item], blocks: list[Block], idf: np.ndarray) -> dict[tuple[int, int], tuple[float, float, bool]]:
+def matches(data: np.ndarray, offsets: np.ndarray, items: list[Item], blocks: list[Block], idf: np.ndarray, short: bool = True) -> dict[tuple[int, int], tuple[float, float, bool]]:
     """(row, item): (best cosine, share, answer) of contaminated pairs of a chunk of texts."""
     words, hashes = _lex(data, offsets)
     if not len(hashes):
@@ -219,8 +227,7 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: list[Item], blocks: li
         held = np.append(0.0, np.cumsum(weights[hit].astype(float) ** 2))
         low, high = np.searchsorted(hit, start), np.searchsorted(hit, end)
         total = mass[end] - mass[start]
-        # A window's cosine with anything in the block's span is at most the root of its share of the block's words; words that repeat can double it.
-        able = np.flatnonzero((held[high] - held[low] >= 0.5 * LEAST_COSINE**2 * total) & (high > low))
+        able = np.flatnonzero((held[high] - held[low] >= LEAST_SHARE * total) & (high > low))
         for part in np.array_split(able, max(1, len(able) // 512)):
             if not len(part):
                 continue
@@ -228,10 +235,14 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: list[Item], blocks: li
             flat = np.repeat(low[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             rows = weights[hit[flat], None] * block.basis[at[flat]]
             folded = np.add.reduceat(rows, np.cumsum(size) - size, 0)
-            cosine = folded @ block.passages.T / np.sqrt(np.maximum(total[part], 1e-12))[:, None]
-            for i, j in np.argwhere(cosine >= LEAST_COSINE):
+            # The squared weights of all places are at most the window's squared length, which counts repeated words together.
+            nearness = folded @ block.passages.T / np.sqrt(np.maximum(total[part], 1e-12))[:, None]
+            for i in np.flatnonzero(nearness.max(1) >= LEAST_NEARNESS):
                 w = part[i]
-                near.setdefault((int(owner[w]), int(block.owners[j])), []).append((int(start[w]), int(end[w]), float(cosine[i, j])))
+                _, first, n = np.unique(hashes[start[w] : end[w]], return_index=True, return_counts=True)
+                own = nearness[i] * np.sqrt(total[w]) / np.linalg.norm(n * weights[start[w] : end[w]][first])
+                for j in np.flatnonzero(own >= LEAST_NEARNESS):
+                    near.setdefault((int(owner[w]), int(block.owners[j])), []).append((int(start[w]), int(end[w]), float(own[j])))
     found = {}
     for (row, number), spans in near.items():
         item = items[number]
@@ -254,18 +265,31 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: list[Item], blocks: li
             share, answer = max(share, got), answer or told
         if leaked:
             found[row, number] = (best, share, answer)
+    for number, item in enumerate(items):
+        if short and len(item.words) < LEAST_WORDS:
+            found |= {(row, number): (1.0, 1.0, True) for row in _verbatim(words, hashes, item.words)}
     return found
 
 
+def _verbatim(words: tx.Words, hashes: np.ndarray, wanted: np.ndarray) -> list[int]:
+    """Texts in which the wanted words stand one after the other."""
+    last = len(hashes) - len(wanted) + 1
+    at = np.flatnonzero(hashes[: max(0, last)] == wanted[0])
+    for k in range(1, len(wanted)):
+        at = at[hashes[at + k] == wanted[k]]
+    rows = np.searchsorted(words.first, at, "right") - 1
+    return np.unique(rows[at + len(wanted) <= words.first[rows + 1]]).tolist()
+
+
 def _search(model, keep_clean: bool):
     def run(batches):
-        items, blocks, idf = model.value
+        items, blocks, idf, short = model.value
         for batch in batches:
             ids, texts = batch.schema.get_field_index("doc_id"), batch.schema.get_field_index("text")
             clean = np.ones(len(batch), bool)
             out = {"row": [], "item_id": [], "cosine": [], "share": [], "answer": []}
             for low, _, data, offsets in tx.chunks(pc.utf8_lower(batch.column(texts))):
-                for (row, number), (cosine, share, answer) in sorted(matches(data, offsets, items, blocks, idf).items()):
+                for (row, number), (cosine, share, answer) in sorted(matches(data, offsets, items, blocks, idf, short).items()):
                     clean[low + row] = False
                     for k, v in zip(out, (low + row, items[number].item_id, cosine, share, answer), strict=True):
                         out[k].append(v)
@@ -294,8 +318,8 @@ def _models(documents: DataFrame, benchmark: DataFrame):
         return
     idf = inverse_frequencies(documents)
     blocks = build_blocks(spark, items, idf)
-    for low in range(0, len(blocks), BLOCKS_AT_ONCE):
-        yield spark.sparkContext.broadcast((items, blocks[low : low + BLOCKS_AT_ONCE], idf))
+    for low in range(0, max(1, len(blocks)), BLOCKS_AT_ONCE):
+        yield spark.sparkContext.broadcast((items, blocks[low : low + BLOCKS_AT_ONCE], idf, low == 0))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ MAX_RATIO = 0.1
 MIN_PAGES = 3
 SCRIPT_OR_STYLE = r"(?is)<(script|style)[^>]*>.*?</(script|style)>"
 TAG = r"<[^>]*>"
-HOST = r"^[a-z][a-z0-9+.-]*://([^/?#]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 
 
 def host_of(url: Column) -> Column:
-    """The authority part of a URL in lower case; empty where there is none."""
+    """The host of a URL in lower case, without user and port; empty where there is none."""
     return F.coalesce(F.regexp_extract(F.lower(url), HOST, 1), F.lit(""))
 
 
@@ -40,30 +40,33 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, texts: int = 1) -> DataFrame:
     """(__line_host, __line_keys): md5 keys of each host's boilerplate lines.
 
+    With ``texts`` of 2, a line must stand in two different texts: copies of one page are no sign of boilerplate.
     A host has at most (distinct lines of a page on average) / max_ratio of them, so the array is bounded however
     many pages the host has. Hosts and lines are counted with partial aggregation: a hot host is spread by line.
     """
     distinct = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), _key))
-    rows = pages.select(host.alias("__line_host"), distinct.alias("__line_keys"))
+    rows = pages.select(host.alias("__line_host"), distinct.alias("__line_keys"), F.xxhash64(text).alias("__line_text"))
     totals = rows.groupBy("__line_host").agg(F.count(F.lit(1)).alias("__line_pages"))
     counts = (
-        rows.select("__line_host", F.explode("__line_keys").alias("__line_key"))
+        rows.select("__line_host", F.explode("__line_keys").alias("__line_key"), "__line_text")
         .groupBy("__line_host", "__line_key")
-        .agg(F.count(F.lit(1)).alias("__line_n"))
+        .agg(F.count(F.lit(1)).alias("__line_n"), *([F.min("__line_text").alias("__line_one"), F.max("__line_text").alias("__line_other")] if texts > 1 else []))
         .where(F.col("__line_n") >= min_pages)
     )
+    if texts > 1:
+        counts = counts.where("__line_one < __line_other").drop("__line_one", "__line_other")
     totals = totals.withColumnRenamed("__line_host", "__line_t")
     found = counts.join(totals, F.col("__line_host").eqNullSafe(F.col("__line_t")))
     above = found.where(F.col("__line_n") / F.col("__line_pages") > max_ratio)
     return above.groupBy("__line_host").agg(F.collect_list("__line_key").alias("__line_keys"))
 
 
-def drop_boilerplate_lines(pages: DataFrame, host: Column, text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+def drop_boilerplate_lines(pages: DataFrame, host: Column, text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, texts: int = 1, counts: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``; with ``counts``, also n_lines and n_dropped (long)."""
-    found = settle(boilerplate(pages, host, F.col(text), max_ratio, min_pages), "lines").select(F.col("__line_host").alias("__line_b"), "__line_keys")
+    found = settle(boilerplate(pages, host, F.col(text), max_ratio, min_pages, texts), "lines").select(F.col("__line_host").alias("__line_b"), "__line_keys")
     # The settled table's size is known: Spark broadcasts it only below its threshold and else splits hot hosts (AQE).
     joined = pages.withColumn("__line_host", host).join(found, F.col("__line_host").eqNullSafe(F.col("__line_b")), "left")
     lines = F.split(text, "\n")

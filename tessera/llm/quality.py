@@ -33,6 +33,8 @@ for _kind, _bytes in enumerate((range(65, 91), range(97, 123), range(48, 58), b"
     for _b in _bytes:
         _KINDS[_b] = _kind + 1
 KINDS = 12
+#: Rows that have their dense features in memory at once.
+ROWS = 512
 STATISTICS = KINDS + 9
 
 
@@ -77,7 +79,9 @@ def features(data: np.ndarray, offsets: np.ndarray, recorded: np.ndarray) -> tup
 def _each(batch: pa.RecordBatch, text: int, recorded: int):
     lengths = batch.column(recorded).fill_null(0).to_numpy(zero_copy_only=False).astype(float)
     for low, high, data, offsets in tx.chunks(batch.column(text), 1 << 20):
-        yield low, high, *features(data, offsets, lengths[low:high])
+        for a in range(0, high - low, ROWS):
+            b = min(a + ROWS, high - low)
+            yield low + a, low + b, *features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lengths[low + a : low + b])
 
 
 def _sample_rows(batches):

@@ -2,7 +2,7 @@
 
 Base spans stand on their own. Weak parts - short or unnamed secrets, account names, endpoints - are common in clean
 text, so one is reported only when a complementary part lies in the same scope: scopes are the stretches between blank
-lines, and parts join when their intervals, widened by ``REACH`` code points, meet within a scope. A secret needs an
+lines, and parts join when they lie within the same scope. A secret needs an
 identifier or an endpoint; an identifier or an endpoint needs a secret. The join is a sweep over the parts in order of
 their start, in memory in proportion to one text.
 
@@ -32,7 +32,6 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "weak_secret", "identifier", "endpoint")
-REACH = 160
 LEAST_WEAK, LEAST_UNNAMED, LEAST_ENTROPY = 6, 20, 3.5
 #: Every run that can hold an access, hex or unnamed part is at least this long.
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
@@ -69,10 +68,10 @@ def base_spans(text: str, lowered: bytes) -> tuple[list[tuple[int, int, str]], l
 
 
 def linked_parts(text: str, parts: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Pairs of numbers of complementary parts within ``REACH`` and one scope, by two sweeps over the parts' starts.
+    """Pairs of numbers of complementary parts of one scope, by two sweeps over the parts' starts.
 
     The first joins each part with the nearest earlier part of each complementary role, the second with the nearest
-    later one: a part that has a complement anywhere in reach gets a link, without listing all pairs of a scope.
+    later one: a part that has a complement anywhere in its scope gets a link, without listing all pairs of a scope.
     """
     breaks = [m.start() for m in _BREAK.finditer(text)] if parts else []
     order = sorted(range(len(parts)), key=lambda i: parts[i])
@@ -87,8 +86,7 @@ def linked_parts(text: str, parts: list[tuple[int, int, str]]) -> list[tuple[int
                 scope, nearest = scope_of[i], {}
             role = _ROLE[kind]
             for other, j in nearest.items():
-                gap = parts[j][0] - end if backward else start - parts[j][1]
-                if other != role and "secret" in (other, role) and gap <= REACH:
+                if other != role and "secret" in (other, role):
                     links.add((i, j) if backward else (j, i))
             if backward or role not in nearest or parts[nearest[role]][1] < end:
                 nearest[role] = i

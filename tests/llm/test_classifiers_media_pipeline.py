@@ -222,10 +222,13 @@ def test_pipeline_stage_by_stage(spark):
     kept = {r["doc_id"]: (r["text"], r["source"]) for r in documents.collect()}
     rejected = {r["doc_id"] for r in toxicity.score_toxicity(documents, labels).where("predicted = 1").collect()}
     kept = {k: v for k, v in kept.items() if k not in rejected}
-    hosts, counts = Counter(s for _, s in kept.values()), Counter()
+    hosts, counts, held = Counter(s for _, s in kept.values()), Counter(), defaultdict(set)
     for text, source in kept.values():
-        counts.update({(source, x.strip(" ")) for x in text.split("\n") if x.strip(" ")})
-    bad = {(s, x) for (s, x), n in counts.items() if n >= lines.MIN_PAGES and n / hosts[s] > lines.MAX_RATIO}
+        own = {(source, x.strip(" ")) for x in text.split("\n") if x.strip(" ")}
+        counts.update(own)
+        for x in own:
+            held[x].add(text)
+    bad = {(s, x) for (s, x), n in counts.items() if n >= corpus_pipeline.LINE_PAGES and n / hosts[s] > corpus_pipeline.LINE_RATIO and len(held[s, x]) > 1}
     kept = {k: ("\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in bad), s) for k, (t, s) in kept.items()}
     frame = lambda: spark.createDataFrame([(k, t, "x", s, len(t)) for k, (t, s) in kept.items()], DOCUMENTS)
     groups = defaultdict(list)
@@ -249,3 +252,16 @@ def test_pipeline_takes_odd_rows(spark):
             docs = stage(spark, docs, FOLDER)
             assert docs.columns == corpus_pipeline.COLUMNS or name == "source_mixing"
         assert docs.count() == count
+
+
+def test_quality_features_are_bounded_in_memory():
+    """10,000 short rows in one batch take no more than a worker may have for them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.record_batch({"text": pa.array([f"row {i} of few words" for i in range(10_000)]), "n_chars": pa.array(np.arange(10_000))})
+    tracemalloc.start()
+    rows = sum(high - low for low, high, hashed, stats in quality._each(batch, 0, 1) if len(hashed) == len(stats) == high - low)
+    assert rows == 10_000 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
