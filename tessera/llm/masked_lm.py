@@ -1,15 +1,17 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are words; the most frequent words of the corpus are symbols of their own, all others share hashed symbols. A
-symbol's probability given ``SIDE`` symbols on each side is softmax(tanh(E[left, right] W1 + b1) W2 + b2). A document's
-score is the sum over all its tokens of the log-probability of the true word: its masked pseudo-log-likelihood. A word of
-a shared symbol has the symbol's probability times the word's share of the symbol's tokens in the whole corpus, so the
-vocabulary is that of the corpus, whatever its size.
+Tokens are words; the ``OWN_SYMBOLS`` most frequent words of the corpus are symbols of their own, all others share
+``LEAVES`` hashed symbols. Symbols stand in classes by frequency, and a symbol's probability given ``SIDE`` symbols on
+each side is that of its class times that within its class, each a softmax over the hidden layer
+tanh(E[left, right] W1 + b1). A document's score is the sum over all its tokens of the log-probability of the true word:
+its masked pseudo-log-likelihood. A word of a shared symbol has the symbol's probability times the word's share of the
+symbol's tokens in the whole corpus, so the vocabulary is that of the corpus, whatever its size.
 
 Word counts come from all documents and are kept in a table: ``TOLD`` words are sent to the workers, all others are
 joined. The network is trained with numpy on every position of all documents, once: in each of ``ROUNDS`` rounds every
 partition trains from the common weights on its share of the positions, and the partitions' weights are averaged by
-windows seen; sums are taken in fixed point on the executors, so they do not depend on their order.
+windows seen; sums are taken on the executors, in two steps and in fixed point, so they do not depend on their order.
+The weights depend on how the documents lie in partitions, as in any training by averaging; for one layout they are the same.
 
 Defined results: a null or empty text has no tokens, log_prob 0 and a null mean; a text's first and last tokens see a
 padding symbol; rows that repeat an id are scored each; an empty table gives no rows. Only ``doc_id`` and ``text`` are
@@ -26,38 +28,48 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .common import drop_settled, settle, ship
 
-OWN_SYMBOLS = 128
-SYMBOLS = 256
+#: Symbols are numbered class by class; the last class has those that words share.
+CLASSES, LEAVES = 128, 128
+SYMBOLS = CLASSES * LEAVES
+OWN_SYMBOLS = SYMBOLS - LEAVES
 SIDE = 2
 EMBEDDING = 16
-HIDDEN = 32
+HIDDEN = 16
 ROUNDS = 2
-MINIBATCH = 256
+MINIBATCH = 8192
+RATE = 0.2
 SEED = 7
+#: Parts of the weights that are averaged one by one, and groups of partitions whose sums are taken first.
+SHARDS, FAN = 16, 64
 _FIXED = float(1 << 24)
-_BLOCK = 2048
+_BLOCK = 8192
 #: Words of shared symbols whose counts the workers are sent; it decides where a count is looked up, not what is scored.
 TOLD = 1 << 16
 
 Weights = dict[str, np.ndarray]
 
 
-def start_weights(seed: int = SEED) -> Weights:
+def start_weights(seed: int = SEED, shares: np.ndarray | None = None) -> Weights:
+    """Random weights; with shares of the symbols, biases that give them."""
     rng = np.random.default_rng(seed)
     inputs = 2 * SIDE * EMBEDDING
+    shares = np.full(SYMBOLS, 1 / SYMBOLS) if shares is None else shares
+    leaves = shares.reshape(CLASSES, LEAVES)
     return {
         "e": (rng.standard_normal((SYMBOLS + 1, EMBEDDING)) * 0.3).astype(np.float32),
         "w1": (rng.standard_normal((inputs, HIDDEN)) / np.sqrt(inputs)).astype(np.float32),
         "b1": np.zeros(HIDDEN, np.float32),
-        "w2": (rng.standard_normal((HIDDEN, SYMBOLS)) * 0.1).astype(np.float32),
-        "b2": np.zeros(SYMBOLS, np.float32),
+        "c": (rng.standard_normal((HIDDEN, CLASSES)) * 0.05).astype(np.float32),
+        "cb": np.log(leaves.sum(1)).astype(np.float32),
+        "o": (rng.standard_normal((CLASSES, HIDDEN, LEAVES)) * 0.05).astype(np.float32),
+        "ob": np.log(leaves / leaves.sum(1, keepdims=True)).astype(np.float32),
     }
 
 
 def symbols_of(words: tx.Words, known: np.ndarray, number: np.ndarray) -> np.ndarray:
     """A symbol for each word: its own, or one of the shared ones by its hash. known: sorted hashes."""
     hashes = words.hashes()
-    found = (OWN_SYMBOLS + ((hashes >> np.uint64(17)) % np.uint64(SYMBOLS - OWN_SYMBOLS))).astype(np.int64)
+    found = (OWN_SYMBOLS + ((hashes >> np.uint64(17)) % np.uint64(LEAVES))).astype(np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         found = np.where(known[at] == hashes, number[at], found)
@@ -77,11 +89,27 @@ def contexts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Logits to probabilities, in place; gives each row's log of the sum, so that log P is logit minus it."""
+    top = logits.max(1, keepdims=True)
+    logits -= top
+    np.exp(logits, out=logits)
+    total = logits.sum(1, keepdims=True)
+    logits /= total
+    return (top + np.log(total))[:, 0]
+
+
+def _by_class(classes: np.ndarray):
+    """(class, its rows) of each class that is there."""
+    order = np.argsort(classes, kind="stable")
+    present, at = np.unique(classes[order], return_index=True)
+    return zip(present.tolist(), np.split(order, at[1:]), strict=True) if len(order) else ()
+
+
 def log_probabilities(context: np.ndarray, symbols: np.ndarray, weights: Weights) -> np.ndarray:
     """log P(symbol | context) of each token; the first layer is folded into one table per place."""
     tables = [weights["e"] @ weights["w1"][k * EMBEDDING : (k + 1) * EMBEDDING] for k in range(2 * SIDE)]
     tables[0] = tables[0] + weights["b1"]
-    steep = float((np.abs(weights["w2"]).sum(0) + np.abs(weights["b2"])).max())
     out = np.empty(len(symbols), np.float32)
     for low in range(0, len(symbols), _BLOCK):
         part, true = context[low : low + _BLOCK], symbols[low : low + _BLOCK]
@@ -89,40 +117,55 @@ def log_probabilities(context: np.ndarray, symbols: np.ndarray, weights: Weights
         for k in range(1, 2 * SIDE):
             hidden += tables[k][part[:, k]]
         np.tanh(hidden, out=hidden)
-        logits = hidden @ weights["w2"]
-        logits += weights["b2"]
-        if steep > 60:  # else exp cannot overflow
-            logits -= logits.max(1, keepdims=True)
-        told = logits[np.arange(len(true)), true]
-        np.exp(logits, out=logits)
-        out[low : low + _BLOCK] = told - np.log(logits.sum(1))
+        classes, leaves = np.divmod(true, LEAVES)
+        logits = hidden @ weights["c"] + weights["cb"]
+        told = logits[np.arange(len(true)), classes]
+        told -= _softmax(logits)
+        for k, rows in _by_class(classes):
+            logits = hidden[rows] @ weights["o"][k] + weights["ob"][k]
+            own = logits[np.arange(len(rows)), leaves[rows]]
+            told[rows] += own - _softmax(logits)
+        out[low : low + _BLOCK] = told
     return out
 
 
 def train_windows(context: np.ndarray, symbols: np.ndarray, weights: Weights, moments: Weights, rate: float) -> None:
     """Adagrad over minibatches, in place."""
+
+    def step(name, gradient, at=slice(None)):
+        moments[name][at] += gradient * gradient
+        weights[name][at] -= rate * gradient / np.sqrt(moments[name][at])
+
     for low in range(0, len(symbols), MINIBATCH):
         part, true = context[low : low + MINIBATCH], symbols[low : low + MINIBATCH]
-        x = weights["e"][part].reshape(len(part), -1)
+        n = len(true)
+        x = weights["e"][part].reshape(n, -1)
         hidden = np.tanh(x @ weights["w1"] + weights["b1"])
-        logits = hidden @ weights["w2"] + weights["b2"]
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        logits[np.arange(len(true)), true] -= 1
-        logits /= len(true)
-        back = (logits @ weights["w2"].T) * (1 - hidden**2)
+        classes, leaves = np.divmod(true, LEAVES)
+        slope = hidden @ weights["c"] + weights["cb"]
+        _softmax(slope)
+        slope[np.arange(n), classes] -= 1
+        slope /= n
+        back = slope @ weights["c"].T
+        for k, rows in _by_class(classes):
+            own = hidden[rows]
+            inner = own @ weights["o"][k] + weights["ob"][k]
+            _softmax(inner)
+            inner[np.arange(len(rows)), leaves[rows]] -= 1
+            inner /= n
+            back[rows] += inner @ weights["o"][k].T
+            step("o", own.T @ inner, k)
+            step("ob", inner.sum(0), k)
+        step("c", hidden.T @ slope)
+        step("cb", slope.sum(0))
+        back *= 1 - hidden * hidden
         to_e = (back @ weights["w1"].T).reshape(-1, EMBEDDING)
+        step("w1", x.T @ back)
+        step("b1", back.sum(0))
         flat = part.ravel()
         order = np.argsort(flat, kind="stable")
         rows, at = np.unique(flat[order], return_index=True)
-        gradient = {"w2": hidden.T @ logits, "b2": logits.sum(0), "w1": x.T @ back, "b1": back.sum(0)}
-        for k, g in gradient.items():
-            moments[k] += g * g
-            weights[k] -= rate * g / np.sqrt(moments[k])
-        g = np.add.reduceat(to_e[order], at, 0)
-        moments["e"][rows] += g * g
-        weights["e"][rows] -= rate * g / np.sqrt(moments["e"][rows])
+        step("e", np.add.reduceat(to_e[order], at, 0), rows)
 
 
 def _word_counts(batches):
@@ -137,36 +180,43 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return settle(documents.select("text").mapInArrow(_word_counts, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def _symbol(words: list[int]) -> Column:
-    """The symbol of a word of the counts table; see ``symbols_of``."""
-    own = F.array_position(F.array(*[F.lit(w).cast("long") for w in words]), F.col("word")) if words else F.lit(0)
-    # the top bits of (word >>> 17) modulo a power of two are its bits 17 to 23
-    shared = F.shiftrightunsigned("word", 17).bitwiseAND(F.lit(SYMBOLS - OWN_SYMBOLS - 1)) + OWN_SYMBOLS
-    return F.when(own > 0, own - 1).otherwise(shared)
-
+def common_words(counts: DataFrame, most: int = OWN_SYMBOLS) -> tuple[np.ndarray, np.ndarray, Column, dict[int, int]]:
+    """The most frequent words; ties go to the smaller hash.
 
-def common_words(counts: DataFrame, most: int = OWN_SYMBOLS) -> tuple[list[int], np.ndarray, dict[int, int]]:
-    """(hashes of the most frequent words, share of each symbol, tokens of each symbol); ties go to the smaller hash."""
-    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
-    rows = counts.groupBy(_symbol(words).alias("s")).agg(F.sum("n").alias("n")).collect()  # a row per symbol
+    (Their hashes by rank, share of each symbol, whether a row of the counts has a symbol of its own, tokens of each shared symbol.)
+    """
+    top = counts.orderBy(F.desc("n"), "word").limit(most).toArrow()  # bounded by the symbols
+    words, n = (top[c].to_numpy() for c in ("word", "n"))
+    own = F.lit(True)
+    if len(words) == most:
+        last, word = F.lit(int(n[-1])).cast("long"), F.lit(int(words[-1])).cast("long")
+        own = (F.col("n") > last) | ((F.col("n") == last) & (F.col("word") <= word))
+    rows = counts.where(~own).groupBy(_shared_symbol().alias("s")).agg(F.sum("n").alias("n")).collect()  # a row per shared symbol
     shares = np.ones(SYMBOLS)
+    shares[: len(words)] += n
     for r in rows:
         shares[r["s"]] += r["n"]
-    return words, shares / shares.sum(), {r["s"]: r["n"] for r in rows}
+    return words, shares / shares.sum(), own, {r["s"]: r["n"] for r in rows}
 
 
-def count_words(documents: DataFrame, most: int = OWN_SYMBOLS) -> tuple[list[int], np.ndarray]:
+def _shared_symbol() -> Column:
+    """The shared symbol of a word of the counts table; see ``symbols_of``."""
+    # the top bits of (word >>> 17) modulo a power of two are its lowest
+    return (F.shiftrightunsigned("word", 17).bitwiseAND(F.lit(LEAVES - 1)) + OWN_SYMBOLS).cast("int")
+
+
+def count_words(documents: DataFrame, most: int = OWN_SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the most frequent words, share of each symbol), over all documents."""
     counts = word_counts(documents)
-    words, shares, _ = common_words(counts, most)
+    words, shares, _, _ = common_words(counts, most)
     drop_settled(counts)
     return words, shares
 
 
-def words_within(counts: DataFrame, words: list[int], totals: dict[int, int]) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+def words_within(counts: DataFrame, own: Column, totals: dict[int, int]) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
     """log P(word | its shared symbol): sorted hashes and values of the ``TOLD`` most frequent, and a table (word, within) of all others."""
-    total = F.element_at(F.array(*[F.lit(totals.get(s, 0)).cast("long") for s in range(SYMBOLS)]), F.col("s").cast("int") + 1)
-    shared = counts.withColumn("s", _symbol(words)).where(F.col("s") >= OWN_SYMBOLS).withColumn("within", F.log(F.col("n") / total))
+    total = F.element_at(F.array(*[F.lit(totals.get(s, 0)).cast("long") for s in range(OWN_SYMBOLS, SYMBOLS)]), F.col("s") - OWN_SYMBOLS + 1)
+    shared = counts.where(~own).withColumn("s", _shared_symbol()).withColumn("within", F.log(F.col("n") / total))
     told = shared.orderBy(F.desc("n"), "word").limit(TOLD).select("word", "n", "within").toArrow()  # bounded by TOLD
     rest = None
     if len(told) == TOLD:
@@ -177,64 +227,83 @@ def words_within(counts: DataFrame, words: list[int], totals: dict[int, int]) ->
     return hashes[order], told["within"].to_numpy()[order], rest
 
 
-def _known(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    known = np.array(words, np.int64).view(np.uint64)
+def _known(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known = np.asarray(words, np.int64).view(np.uint64)
     order = np.argsort(known)
     return known[order], order.astype(np.int64)
 
 
-def _trained(words: list[int], start, turn: int, rounds: int = ROUNDS):
+def _trained(start, turn: int, rounds: int = ROUNDS):
     def run(batches):
+        words, weights = start.value
         known, number = _known(words)
-        weights = {k: v.copy() for k, v in start.value.items()}
-        moments = {k: np.full_like(v, 0.1) for k, v in weights.items()}
-        windows = 0
+        weights = {k: v.copy() for k, v in weights.items()}
+        moments = {k: np.full_like(v, 1e-4) for k, v in weights.items()}
+        windows, waiting = 0, []
+
+        def flush():
+            context, symbols = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            mixed = np.argsort(tx.mix(np.arange(len(symbols), dtype=np.uint64)))  # documents mixed
+            train_windows(context[mixed], symbols[mixed], weights, moments, RATE / (1 + turn))
+            waiting.clear()
+            return len(symbols)
+
         for batch in batches:
             for _, _, data, offsets in tx.chunks(batch.column(0)):
                 lexed = tx.split(data, offsets)
                 symbols = symbols_of(lexed, known, number)
-                context = contexts(symbols, lexed.first)
                 place = np.arange(len(symbols)) - np.repeat(lexed.first[:-1], lexed.counts())
                 taken = np.flatnonzero(place % rounds == turn)
-                taken = taken[np.argsort(tx.mix(taken.astype(np.uint64)))]  # documents of a chunk mixed
-                train_windows(context[taken], symbols[taken], weights, moments, 0.1 / (1 + turn))
-                windows += len(taken)
+                if len(taken):
+                    waiting.append((contexts(symbols, lexed.first)[taken], symbols[taken]))
+                if sum(len(s) for _, s in waiting) >= 4 * MINIBATCH:
+                    windows += flush()
+        if waiting:
+            windows += flush()
         if windows:
+            share = -(-windows // 256)
             flat = np.concatenate([weights[k].ravel() for k in sorted(weights)])
-            yield pa.record_batch(
-                {
-                    "k": pa.array(np.arange(len(flat) + 1), pa.int32()),
-                    "v": pa.array(np.append(np.round(np.clip(flat, -100, 100) * _FIXED).astype(np.int64) * -(-windows // MINIBATCH), -(-windows // MINIBATCH)), pa.int64()),
-                }
-            )
+            sums = np.round(np.clip(flat, -100, 100) * _FIXED).astype(np.int64) * share
+            group = int(tx.mix(np.array([windows], np.uint64) ^ sums[:1].view(np.uint64))[0] % np.uint64(FAN))
+            for shard, part in enumerate(np.array_split(sums, SHARDS)):
+                yield pa.record_batch({"shard": [shard], "part": [group], "n": [share], "sums": pa.array([part.tobytes()], pa.binary())})
 
     return run
 
 
-def train(documents: DataFrame, words: list[int], shares: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> Weights:
+def _summed(batches):
+    """One row for each (shard, part) of this partition: the sums of all its rows."""
+    sums: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for shard, part, n, blob in zip(*(batch.column(k) for k in range(4)), strict=True):
+            row = sums.setdefault((shard.as_py(), part.as_py()), [0, 0])
+            row[0] += n.as_py()
+            row[1] = row[1] + np.frombuffer(blob.as_py(), np.int64)
+    for (shard, part), (n, total) in sums.items():
+        yield pa.record_batch({"shard": [shard], "part": [part], "n": [n], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(documents: DataFrame, words: np.ndarray, shares: np.ndarray, rounds: int = ROUNDS, seed: int = SEED) -> Weights:
     """Weights after ``rounds`` of training on every partition and averaging, from the symbols' shares on."""
     spark = documents.sparkSession
-    weights = start_weights(seed)
-    weights["b2"] = np.log(shares).astype(np.float32)
+    weights, kind = start_weights(seed, shares), "shard long, part long, n long, sums binary"
     for turn in range(rounds):
-        trained = documents.select("text").mapInArrow(_trained(words, spark.sparkContext.broadcast(weights), turn, rounds), "k int, v bigint")
-        rows = trained.groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).toArrow()  # a row per weight
-        if not len(rows):  # no text has a position of this round
+        parts = documents.select("text").mapInArrow(_trained(spark.sparkContext.broadcast((words, weights)), turn, rounds), kind)
+        sums = parts.repartition(SHARDS * 4, "shard", "part").mapInArrow(_summed, kind).withColumn("part", F.lit(0).cast("long"))
+        rows = sums.repartition(SHARDS, "shard").mapInArrow(_summed, kind).orderBy("shard").collect()  # the weights: SHARDS rows
+        if not rows:  # no text has a position of this round
             continue
-        flat = np.zeros(len(rows))
-        flat[rows["k"].to_numpy()] = rows["v"].to_numpy()
-        flat = flat[:-1] / flat[-1] / _FIXED
-        at = 0
+        flat, at = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in rows]) / rows[0]["n"] / _FIXED, 0
         for k in sorted(weights):
             weights[k] = flat[at : at + weights[k].size].reshape(weights[k].shape).astype(np.float32)
             at += weights[k].size
     return weights
 
 
-def _scores(words: list[int], model):
+def _scores(model):
     def run(batches):
+        words, weights, told, within = model.value
         known, number = _known(words)
-        weights, told, within = model.value
         for batch in batches:
             tokens, sums = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             left, n_left = [np.zeros(0, np.int64)], np.zeros(len(batch), np.int64)
@@ -244,7 +313,7 @@ def _scores(words: list[int], model):
                 found = log_probabilities(contexts(symbols, lexed.first), symbols, weights).astype(np.float64)
                 shared = np.flatnonzero(symbols >= OWN_SYMBOLS)
                 hashes = lexed.hashes()[shared]
-                if len(hashes):
+                if len(hashes) and len(told):
                     at = np.minimum(np.searchsorted(told, hashes), len(told) - 1)
                     hit = told[at] == hashes
                     found[shared[hit]] += within[at[hit]]
@@ -263,11 +332,11 @@ def score_documents(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     counts = word_counts(documents)
-    words, shares, totals = common_words(counts)
+    words, shares, own, totals = common_words(counts)
     weights = train(documents, words, shares)
-    told, within, rest = words_within(counts, words, totals)
-    model = spark.sparkContext.broadcast((weights, told, within))
-    scored = documents.select("doc_id", "text").mapInArrow(_scores(words, model), "doc_id bigint, n_tokens bigint, log_prob double, rest array<bigint>")
+    told, within, rest = words_within(counts, own, totals)
+    model = spark.sparkContext.broadcast((words, weights, told, within))
+    scored = documents.select("doc_id", "text").mapInArrow(_scores(model), "doc_id bigint, n_tokens bigint, log_prob double, rest array<bigint>")
     if rest is not None:
         scored = settle(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         each = scored.select("row", F.explode("rest").alias("word")).join(rest, "word")

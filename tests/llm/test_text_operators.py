@@ -427,6 +427,7 @@ def test_masked_lm_scores_every_token_of_both_sides(odd):
     weights = masked_lm.train(odd, common, shares)
     texts = [r["text"] for r in odd.orderBy("doc_id").collect()]
     known, number = masked_lm._known(common)
+    softmax = lambda x: np.exp(x.astype(float)) / np.exp(x.astype(float)).sum()
     for text in texts[:12]:
         _, _, data, offsets = next(tx.chunks(pa.array([text])))
         lexed = tx.split(data, offsets)
@@ -435,12 +436,61 @@ def test_masked_lm_scores_every_token_of_both_sides(odd):
         for i, symbol in enumerate(ids):
             around = [ids[i + k] if 0 <= i + k < len(ids) else masked_lm.SYMBOLS for k in (-2, -1, 1, 2)]
             hidden = np.tanh(np.concatenate([weights["e"][x] for x in around]) @ weights["w1"] + weights["b1"])
-            logits = (hidden @ weights["w2"] + weights["b2"]).astype(float)
-            total += logits[symbol] - math.log(np.exp(logits).sum())
+            group, leaf = divmod(symbol, masked_lm.LEAVES)
+            total += math.log(softmax(hidden @ weights["c"] + weights["cb"])[group]) + math.log(softmax(hidden @ weights["o"][group] + weights["ob"][group])[leaf])
         got = masked_lm.log_probabilities(masked_lm.contexts(np.array(ids, np.int64), lexed.first), np.array(ids, np.int64), weights)
         assert len(ids) == len(words(text)) and math.isclose(float(got.sum(dtype=float)), total, rel_tol=1e-3, abs_tol=1e-3)
 
 
+def test_masked_lm_probabilities_sum_to_one():
+    weights = masked_lm.start_weights()
+    context = np.tile(np.array([[3, 500, 16000, masked_lm.SYMBOLS]]), (masked_lm.SYMBOLS, 1))
+    assert math.isclose(np.exp(masked_lm.log_probabilities(context, np.arange(masked_lm.SYMBOLS), weights).astype(float)).sum(), 1.0, rel_tol=1e-3)
+
+
+def test_masked_lm_gradients():
+    """One small step lowers the loss by what the squared gradient of finite differences says."""
+    rng = np.random.default_rng(3)
+    context, symbols = rng.integers(0, masked_lm.SYMBOLS, (64, 4)), rng.integers(0, 400, 64)
+    weights = masked_lm.start_weights()
+    loss = lambda w: -masked_lm.log_probabilities(context, symbols, w).mean(dtype=float)
+    before = loss(weights)
+    for name, at in (("w1", (5, 3)), ("c", (2, 0)), ("cb", (1,)), ("o", (1, 2, 5)), ("ob", (0, 7)), ("b1", (4,)), ("e", (int(context[0, 1]), 2))):
+        moved = {k: v.copy() for k, v in weights.items()}
+        moved[name][at] += 0.05
+        slope = (loss(moved) - before) / 0.05
+        stepped = {k: v.copy() for k, v in weights.items()}
+        masked_lm.train_windows(context, symbols, stepped, {k: np.full_like(v, 1.0) for k, v in weights.items()}, 1.0)
+        change = float(stepped[name][at] - weights[name][at])
+        assert math.isclose(change, -slope, rel_tol=0.3, abs_tol=2e-3), name
+
+
+def test_masked_lm_predicts_held_out_texts_better_than_word_counts(spark):
+    """Perplexity on texts that were not trained on, against a unigram model of the trained ones."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    after = {w: rng.choice(300, 6) for w in range(300)}
+
+    def text():
+        out = [int(rng.integers(300))]
+        while len(out) < 200:
+            out.append(int(after[out[-1]][rng.integers(6)]))
+        return " ".join(f"w{x}" for x in out)
+
+    frame = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id bigint, text string").coalesce(1)
+    masked_lm.ship(spark)
+    common, shares = masked_lm.count_words(frame)
+    weights = masked_lm.train(frame, common, shares)
+    gain = 0.0
+    for _ in range(20):
+        data, offsets = tx.raw(pa.array([text()]))
+        lexed = tx.split(data, offsets)
+        ids = masked_lm.symbols_of(lexed, *masked_lm._known(common))
+        gain += float((masked_lm.log_probabilities(masked_lm.contexts(ids, lexed.first), ids, weights) - np.log(shares[ids])).mean())
+    assert gain / 20 > 0.2
+
+
 def test_masked_lm_learns_order(spark):
     """Texts of the trained order score above the same words shuffled."""
     rng = np.random.default_rng(8)
@@ -467,20 +517,21 @@ def test_masked_lm_trains_on_every_position(monkeypatch):
     texts = ["one two", "three", "", None, " ".join(f"w{i}" for i in range(100))]
 
     class Start:
-        value = masked_lm.start_weights()
+        value = np.zeros(0, np.int64), masked_lm.start_weights()
 
     for turn in range(masked_lm.ROUNDS):
-        list(masked_lm._trained([], Start, turn)([pa.record_batch({"text": pa.array(texts)})]))
+        list(masked_lm._trained(Start, turn)([pa.record_batch({"text": pa.array(texts)})]))
     _, _, data, offsets = next(tx.chunks(pa.array(texts)))
     lexed = tx.split(data, offsets)
-    symbols = masked_lm.symbols_of(lexed, *masked_lm._known([]))
+    symbols = masked_lm.symbols_of(lexed, *masked_lm._known(np.zeros(0, np.int64)))
     assert len(symbols) == 103 and sorted(seen) == sorted(map(tuple, np.column_stack([masked_lm.contexts(symbols, lexed.first), symbols]).tolist()))
 
 
 def test_masked_lm_scores_words_not_buckets(spark, monkeypatch):
     """Words of one shared symbol are told apart by their counts, whether the counts are sent or joined."""
     monkeypatch.setattr(masked_lm, "train", lambda documents, words, shares: plain)
-    plain = masked_lm.start_weights()
+    plain, whole = masked_lm.start_weights(), masked_lm.common_words
+    monkeypatch.setattr(masked_lm, "common_words", lambda counts, most=100: whole(counts, most))
     rng = np.random.default_rng(9)
     texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.3, 40) % 900) for _ in range(60)] + ["", "v1"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
@@ -488,7 +539,7 @@ def test_masked_lm_scores_words_not_buckets(spark, monkeypatch):
     for text in texts:
         for w in text.split():
             n[w] = n.get(w, 0) + 1
-    common, _ = masked_lm.count_words(frame)
+    common, _ = masked_lm.count_words(frame, 100)
     import pyarrow as pa
 
     symbol = {}
