@@ -35,16 +35,20 @@ OWN_SYMBOLS = SYMBOLS - LEAVES
 SIDE = 2
 EMBEDDING = 16
 HIDDEN = 16
-ROUNDS = 2
-MINIBATCH = 8192
+ROUNDS = 1
+MINIBATCH = 16384
 RATE = 0.2
 SEED = 7
 #: Parts of the weights that are averaged one by one, and groups of partitions whose sums are taken first.
 SHARDS, FAN = 16, 64
 _FIXED = float(1 << 24)
-_BLOCK = 8192
+_BLOCK = 32768
+#: Rows whose logits fit a core's cache.
+_CACHED = 1024
 #: Words of shared symbols whose counts the workers are sent; it decides where a count is looked up, not what is scored.
 TOLD = 1 << 16
+#: Distinct words that a worker holds while it counts.
+MERGED = 1 << 19
 
 Weights = dict[str, np.ndarray]
 
@@ -89,19 +93,35 @@ def contexts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Logits to probabilities, in place; gives each row's log of the sum, so that log P is logit minus it."""
-    top = logits.max(1, keepdims=True)
-    logits -= top
+def _exponentials(logits: np.ndarray, steep: bool) -> np.ndarray:
+    """exp of the logits, in place, over a factor for each row; gives the factor's log plus that of the row's sum."""
+    top = logits.max(1, keepdims=True) if steep else None
+    if steep:  # else exp cannot overflow
+        logits -= top
     np.exp(logits, out=logits)
-    total = logits.sum(1, keepdims=True)
-    logits /= total
-    return (top + np.log(total))[:, 0]
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    return np.log(total) + top[:, 0] if steep else np.log(total)
+
+
+def _steep(weights: Weights) -> bool:
+    """Whether some logit may be too large for exp; the hidden layer is within -1 and 1."""
+    return max(float((np.abs(weights[w]).sum(-2) + np.abs(weights[b])).max()) for w, b in (("c", "cb"), ("o", "ob"))) > 60
+
+
+def _slopes(logits: np.ndarray, true: np.ndarray, steep: bool, n: int) -> np.ndarray:
+    """Gradient of the mean loss over n rows by these logits, in their place."""
+    logs = _exponentials(logits, steep)
+    if steep:
+        logits *= (1 / logits.sum(1))[:, None] / n
+    else:
+        logits *= (np.exp(-logs) / n)[:, None]
+    logits[np.arange(len(true)), true] -= 1 / n
+    return logits
 
 
 def _by_class(classes: np.ndarray):
     """(class, its rows) of each class that is there."""
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(classes.astype(np.uint8), kind="stable")  # by radix
     present, at = np.unique(classes[order], return_index=True)
     return zip(present.tolist(), np.split(order, at[1:]), strict=True) if len(order) else ()
 
@@ -110,6 +130,7 @@ def log_probabilities(context: np.ndarray, symbols: np.ndarray, weights: Weights
     """log P(symbol | context) of each token; the first layer is folded into one table per place."""
     tables = [weights["e"] @ weights["w1"][k * EMBEDDING : (k + 1) * EMBEDDING] for k in range(2 * SIDE)]
     tables[0] = tables[0] + weights["b1"]
+    steep = _steep(weights)
     out = np.empty(len(symbols), np.float32)
     for low in range(0, len(symbols), _BLOCK):
         part, true = context[low : low + _BLOCK], symbols[low : low + _BLOCK]
@@ -118,13 +139,20 @@ def log_probabilities(context: np.ndarray, symbols: np.ndarray, weights: Weights
             hidden += tables[k][part[:, k]]
         np.tanh(hidden, out=hidden)
         classes, leaves = np.divmod(true, LEAVES)
-        logits = hidden @ weights["c"] + weights["cb"]
-        told = logits[np.arange(len(true)), classes]
-        told -= _softmax(logits)
-        for k, rows in _by_class(classes):
-            logits = hidden[rows] @ weights["o"][k] + weights["ob"][k]
-            own = logits[np.arange(len(rows)), leaves[rows]]
-            told[rows] += own - _softmax(logits)
+        told = np.empty(len(true), np.float32)
+        for at in range(0, len(true), _CACHED):
+            rows = slice(at, at + _CACHED)
+            logits = hidden[rows] @ weights["c"]
+            logits += weights["cb"]
+            told[rows] = logits[np.arange(len(logits)), classes[rows]]
+            told[rows] -= _exponentials(logits, steep)
+        for k, every in _by_class(classes):
+            for at in range(0, len(every), _CACHED):
+                rows = every[at : at + _CACHED]
+                logits = hidden[rows] @ weights["o"][k]
+                logits += weights["ob"][k]
+                own = logits[np.arange(len(rows)), leaves[rows]]
+                told[rows] += own - _exponentials(logits, steep)
         out[low : low + _BLOCK] = told
     return out
 
@@ -142,36 +170,60 @@ def train_windows(context: np.ndarray, symbols: np.ndarray, weights: Weights, mo
         x = weights["e"][part].reshape(n, -1)
         hidden = np.tanh(x @ weights["w1"] + weights["b1"])
         classes, leaves = np.divmod(true, LEAVES)
-        slope = hidden @ weights["c"] + weights["cb"]
-        _softmax(slope)
-        slope[np.arange(n), classes] -= 1
-        slope /= n
-        back = slope @ weights["c"].T
-        for k, rows in _by_class(classes):
-            own = hidden[rows]
-            inner = own @ weights["o"][k] + weights["ob"][k]
-            _softmax(inner)
-            inner[np.arange(len(rows)), leaves[rows]] -= 1
-            inner /= n
-            back[rows] += inner @ weights["o"][k].T
-            step("o", own.T @ inner, k)
-            step("ob", inner.sum(0), k)
-        step("c", hidden.T @ slope)
-        step("cb", slope.sum(0))
+        steep = _steep(weights)
+        back, to_c, to_cb = np.empty_like(hidden), 0, 0
+        for at in range(0, n, _CACHED):
+            own = hidden[at : at + _CACHED]
+            slope = own @ weights["c"]
+            slope += weights["cb"]
+            _slopes(slope, classes[at : at + _CACHED], steep, n)
+            back[at : at + _CACHED] = slope @ weights["c"].T
+            to_c, to_cb = to_c + own.T @ slope, to_cb + slope.sum(0)
+        for k, every in _by_class(classes):
+            to_o, to_ob = 0, 0
+            for at in range(0, len(every), _CACHED):
+                rows = every[at : at + _CACHED]
+                own = hidden[rows]
+                slope = own @ weights["o"][k]
+                slope += weights["ob"][k]
+                _slopes(slope, leaves[rows], steep, n)
+                back[rows] += slope @ weights["o"][k].T
+                to_o, to_ob = to_o + own.T @ slope, to_ob + slope.sum(0)
+            step("o", to_o, k)
+            step("ob", to_ob, k)
+        step("c", to_c)
+        step("cb", to_cb)
         back *= 1 - hidden * hidden
         to_e = (back @ weights["w1"].T).reshape(-1, EMBEDDING)
         step("w1", x.T @ back)
         step("b1", back.sum(0))
-        flat = part.ravel()
-        order = np.argsort(flat, kind="stable")
+        flat = part.ravel().astype(np.uint16)
+        order = np.argsort(flat, kind="stable")  # by radix
         rows, at = np.unique(flat[order], return_index=True)
         step("e", np.add.reduceat(to_e[order], at, 0), rows)
 
 
 def _word_counts(batches):
+    """(word, n) of this part, words that are far apart once for each time that ``MERGED`` of them are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged():
+        word, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(word)
+        word, n = word[order], n[order]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+        return word[first], np.add.reduceat(n, first) if len(word) else n
+
     for batch in batches:
-        hashes = [tx.split(data, offsets).hashes() for _, _, data, offsets in tx.chunks(batch.column(0))]
-        word, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0))
+        for _, _, data, offsets in tx.chunks(batch.column(0)):
+            held.append(np.unique(tx.split(data, offsets).hashes(), return_counts=True))
+        if sum(len(word) for word, _ in held) > MERGED:
+            held = [merged()]
+            if len(held[0][0]) > MERGED // 2:
+                yield pa.record_batch({"word": held[0][0].view(np.int64), "n": held[0][1].astype(np.int64)})
+                held = []
+    if held:
+        word, n = merged()
         yield pa.record_batch({"word": word.view(np.int64), "n": n.astype(np.int64)})
 
 
