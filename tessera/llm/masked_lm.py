@@ -46,7 +46,7 @@ _BLOCK = 32768
 #: Rows whose logits fit a core's cache.
 _CACHED = 1024
 #: Words of shared symbols whose counts the workers are sent; it decides where a count is looked up, not what is scored.
-TOLD = 1 << 16
+TOLD = 1 << 18
 #: Distinct words that a worker holds while it counts.
 MERGED = 1 << 19
 

@@ -70,6 +70,7 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
+    found: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -81,12 +82,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+        """A 64-bit hash of each word's bytes, the same wherever the word stands; worked out once."""
+        if self.found is not None:
+            return self.found
         powers, inverses = _power_tables(len(self.data) + 1)
         running = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[: len(self.data)], out=running[1:])
         found = (running[self.ends] - running[self.starts]) * inverses[self.starts]
-        return mix(found + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self.found = mix(found + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return self.found
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
