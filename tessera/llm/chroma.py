@@ -4,12 +4,13 @@ A recording (8-bit samples) becomes frames of a windowed spectrum, each folded i
 over an integral image of the pitch-class frames compare the sums of two areas; each comparison is quantised to two
 Gray-coded bits, and the thirty-two bits of a frame are one packed integer.
 
-Recordings are aligned by landmarks: hashes of two packed integers some frames apart, of which the least in every stretch
-is kept, so that a common stretch gives common landmarks. Common landmarks of a query and a recording vote for an
+Recordings are aligned by landmarks: hashes of the steadier half of the bits of two packed integers some frames apart, of
+which the least in every stretch is kept, so that a common stretch gives common landmarks. Common landmarks of a query and a recording vote for an
 offset in a histogram, and the bit errors of all packed integers that overlap at the best offset decide.
 
 Recordings with equal fingerprints are one class from the start; queries meet classes, never all copies. Defined
-results: a null or empty recording has no frames and belongs to the class of empty ones, which matches nothing; one
+results: a recording of fewer than ``LEAST_OVERLAP`` packed integers cannot overlap enough to align and is a class and
+group of its own or of its equals; a null or empty recording has no frames and belongs to the class of empty ones, which matches nothing; one
 shorter than a frame is padded with silence; rows that repeat an id are recordings of their own; a null id is never a
 query; an empty table gives no rows. Only the id and media columns are read.
 """
@@ -28,9 +29,12 @@ from .components import components
 RATE, FRAME, HOP = 8000, 256, 64
 LOWEST_HZ, HIGHEST_HZ = 55.0, 3520.0
 FILTER_WIDTH = 8
-LANDMARK_FRAMES = (0, 4)
-STRETCH = 8
-#: Most bit errors of aligned integers, and the least number of them.
+#: Frames of a landmark's two integers, the bits of each that it holds, and how many landmarks in a row are thinned to one.
+#: Of a filter's two bits only the first is held: whether one area outweighs the other changes less than by how much.
+LANDMARK_FRAMES = (0, FILTER_WIDTH)
+LANDMARK_BITS = 0xAAAAAAAA
+STRETCH = 4
+#: Most bit errors of many aligned integers, and the least number of them, of which none may have an error.
 MOST_BIT_ERRORS = 0.2
 LEAST_OVERLAP = 4
 FILTER_BITS = 1 << 25
@@ -119,7 +123,8 @@ def landmarks(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     pairs = np.zeros(len(packed), np.uint64)
     for gap in LANDMARK_FRAMES:
-        pairs = tx.mix(pairs + packed[np.minimum(np.arange(len(packed)) + gap, len(packed) - 1)].astype(np.uint64))
+        held = packed[np.minimum(np.arange(len(packed)) + gap, len(packed) - 1)] & np.uint32(LANDMARK_BITS)
+        pairs = tx.mix(pairs + held.astype(np.uint64))
     if len(pairs) <= STRETCH:
         kept = np.array([int(np.argmin(pairs))])
     else:
@@ -151,6 +156,11 @@ def bit_errors(query: np.ndarray, recording: np.ndarray, offset: int) -> tuple[i
     return high - low, float(wrong.sum()) / (32 * (high - low))
 
 
+def aligned_enough(overlap: int, errors: float) -> bool:
+    """Whether integers that overlap, and their share of bit errors, decide for an alignment: the fewer, the nearer to equal."""
+    return overlap >= LEAST_OVERLAP and errors <= MOST_BIT_ERRORS * (1 - LEAST_OVERLAP / overlap)
+
+
 def _fingerprint_rows(rate: int, frame: int, hop: int):
     def run(batches):
         for batch in batches:
@@ -206,7 +216,7 @@ def _alignments(batches):
             query, recording = (x.values.to_numpy().view(np.uint32) for x in (q, r))
             best = best_offset(query, recording)
             overlap, wrong = bit_errors(query, recording, best[0]) if best else (0, 1.0)
-            if overlap >= LEAST_OVERLAP and wrong <= MOST_BIT_ERRORS:
+            if aligned_enough(overlap, wrong):
                 kept.append(i)
                 for k, v in zip(out, (*best, overlap, wrong), strict=True):
                     out[k].append(v)
@@ -249,7 +259,7 @@ def align_queries(prints: DataFrame, is_query: Column) -> tuple[DataFrame, DataF
     marks = settle(sets.select("class", "packed").mapInArrow(_landmark_rows(may), "class bigint, key bigint, place int").select("class", "key").distinct(), "marks")
 
     def aligned(candidates: DataFrame) -> DataFrame:
-        paired = candidates.join(sets.select(F.col("class").alias("query"), F.col("packed").alias("q")), "query").join(sets.select("class", F.col("packed").alias("r")), "class")
+        paired = candidates.join(sets.where("asks").select(F.col("class").alias("query"), F.col("packed").alias("q")), "query").join(sets.select("class", F.col("packed").alias("r")), "class")
         return settle(paired.select("query", "class", "q", "r").mapInArrow(_alignments, "query bigint, class bigint, offset int, votes bigint, overlap bigint, bit_errors double"), "pairs")
 
     # A landmark of one class has that query alone and makes no pair.

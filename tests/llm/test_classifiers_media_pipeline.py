@@ -153,7 +153,7 @@ def test_align_queries_matches_brute_force(spark):
             best = chroma.best_offset(packed[q], packed[r]) if min(len(packed[q]), len(packed[r])) >= chroma.LEAST_OVERLAP else None
             if best:
                 overlap, errors = chroma.bit_errors(packed[q], packed[r], best[0])
-                if overlap >= chroma.LEAST_OVERLAP and errors <= chroma.MOST_BIT_ERRORS:
+                if chroma.aligned_enough(overlap, errors):
                     every.add((q, r, best[0], overlap))
     found = {(r["query_class_id"], r["class_id"], r["offset"], r["overlap"]) for r in pairs}
     assert found <= every and ((50, 0, 32, len(packed[50])) in found or (0, 50, -32, len(packed[50])) in found)
@@ -184,7 +184,7 @@ def test_every_aligned_pair_of_a_group_is_found(spark):
         for r in packed:
             best = chroma.best_offset(packed[q], packed[r]) if q != r else None
             overlap, errors = chroma.bit_errors(packed[q], packed[r], best[0]) if best else (0, 1.0)
-            if overlap >= chroma.LEAST_OVERLAP and errors <= chroma.MOST_BIT_ERRORS:
+            if chroma.aligned_enough(overlap, errors):
                 every.add((q, r, *best, overlap))
     assert {(100, 150), (150, 100), (150, 1), (150, 2)} <= {x[:2] for x in every} and not {(150, 200), (200, 150)} & {x[:2] for x in every}
     assert sorted((r["query_class_id"], r["class_id"], r["offset"], r["votes"], r["overlap"]) for r in pairs.collect()) == sorted(every)
@@ -265,3 +265,33 @@ def test_quality_features_are_bounded_in_memory():
     rows = sum(high - low for low, high, hashed, stats in quality._each(batch, 0, 1) if len(hashed) == len(stats) == high - low)
     assert rows == 10_000 and tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.02, 0.05])
+def test_noisy_cuts_are_recalled_at_production_sizes(noise):
+    """Against a look at every offset: at least 0.9 of 4 second cuts of 10 second tunes, with noise of this share of the amplitude."""
+    rng = np.random.default_rng(21)
+    tunes, cuts = [], []
+    for _ in range(20):
+        t = np.arange(10 * chroma.RATE) / chroma.RATE
+        tune, at = np.zeros(len(t)), 0
+        while at < len(t):
+            n = int(chroma.RATE * rng.uniform(0.1, 0.4))
+            tune[at : at + n] = sum(np.sin(2 * np.pi * hz * t[at : at + n]) for hz in 440 * 2 ** (rng.integers(-12, 24, 3) / 12)) / 3
+            at += n
+        start = int(rng.integers(0, 6 * chroma.RATE))
+        tunes.append(tune)
+        cuts.append(tune[start : start + 4 * chroma.RATE] + noise * rng.standard_normal(4 * chroma.RATE))
+
+    def prints(signals):
+        samples = [np.clip(128 + 90 * x, 0, 255).astype(np.uint8) for x in signals]
+        packed, starts = chroma.fingerprints(*chroma.chroma_frames(np.concatenate(samples), np.append(0, np.cumsum([len(x) for x in samples]))))
+        return [packed[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+    found = wanted = 0
+    for query, recording in zip(prints(cuts), prints(tunes), strict=True):
+        if min(chroma.bit_errors(query, recording, o)[1] for o in range(len(recording) - len(query) + 1)) <= chroma.MOST_BIT_ERRORS:
+            wanted += 1
+            best = chroma.best_offset(query, recording)
+            found += best is not None and chroma.bit_errors(query, recording, best[0])[1] <= chroma.MOST_BIT_ERRORS
+    assert wanted >= 15 and found >= 0.9 * wanted
