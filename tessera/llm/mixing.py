@@ -13,10 +13,10 @@ rows. Only ``doc_id``, ``source`` and the text are read, so further columns cann
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import drop_settled, settle
 
 WEIGHTS = (3, 1, 2)
 #: All targets together, as a fraction of all sizes.
@@ -28,36 +28,48 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3
 
 
+def _running(frame: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``frame`` with, under each name, the sum of a column over all rows that come earlier in an order without ties.
+
+    Rows are dealt by ranges of the order, summed within their range and moved by the sums of the ranges before it, so a
+    task has the rows of one range, or one row for each range. The ranges are written down, as they are drawn by chance.
+    """
+    dealt = settle(frame.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("before_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(F.col("range").alias("before_range")).agg(*[F.sum(c).alias(f"{n}_sum") for n, c in sums.items()])
+    ranges = totals.select("before_range", *[F.coalesce(F.sum(f"{n}_sum").over(earlier), F.lit(0)).alias(f"{n}_sum") for n in sums])
+    local = dealt.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(n) for n, c in sums.items()])
+    joined = local.join(ranges, F.col("range") == F.col("before_range"))
+    return joined.select(*frame.columns, *[(F.col(n) + F.col(f"{n}_sum")).alias(n) for n in sums])
+
+
 def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Adds ``target`` to (source, source_size): the level at which capped shares sum to ``share`` of all sizes.
 
-    One row per source goes through one ordered window, never a row per document. Sources sorted by cap over weight
-    fill up in that order, so the level is known at the first source that does not fill up: no iteration is needed.
+    Sources sorted by cap over weight fill up in that order, so the level is known at the first source that does not
+    fill up: no iteration is needed. There may be as many sources as web sites: no task has more than a range of them,
+    and two single rows (the totals, the first open source) reach the driver.
     """
     up, down = share
-    by_code_point = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(by_code_point) - 1) % len(weights)
-    ranked = sizes.select(
-        "source", "source_size", (F.col("source_size") * max_epochs).alias("cap"), F.element_at(F.array(*[F.lit(w) for w in weights]), (place + 1).cast("int")).cast("long").alias("weight")
-    )
-    fills = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    earlier = fills.rowsBetween(Window.unboundedPreceding, -1)
-    later = fills.rowsBetween(0, Window.unboundedFollowing)
-    everything = fills.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (
-        ranked.withColumn("left_over", F.sum("source_size").over(everything) * up - F.coalesce(F.sum("cap").over(earlier), F.lit(0)) * down)
-        .withColumn("rest_weight", F.sum("weight").over(later))
-        .withColumn("full", F.col("cap") * F.col("rest_weight") * down <= F.col("left_over") * F.col("weight"))
-    )
-    first_open = F.when(~F.col("full"), F.struct("left_over", "rest_weight"))
-    open_level = F.first(first_open, ignorenulls=True).over(everything)
-    return level.withColumn("open", open_level).select(
-        "source",
-        "source_size",
-        F.when(F.col("full"), F.col("cap").cast("double"))
-        .otherwise((F.col("weight") * F.col("open.left_over")).cast("double") / (F.col("open.rest_weight") * down).cast("double"))
-        .alias("target"),
-    )
+    by_code_point = F.col("source").asc_nulls_last()
+    placed = _running(sizes.select("source", "source_size"), [by_code_point], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    ranked = placed.select("source", "source_size", (F.col("source_size") * max_epochs).alias("cap"), weight.alias("weight"))
+    filling = _running(ranked.withColumn("fill", F.col("cap") / F.col("weight")), [F.col("fill").asc(), by_code_point], {"cap_before": F.col("cap"), "weight_before": F.col("weight")})
+    drop_settled(placed)
+    totals = filling.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    size, weights_sum = totals["size"] or 0, totals["weight"] or 0
+    wide = lambda x: x.cast("decimal(19,0)")  # noqa: E731  # products of words and weights may pass 64 bits
+    left_over, rest_weight = F.lit(size * up) - F.col("cap_before") * down, F.lit(weights_sum) - F.col("weight_before")
+    full = wide(F.col("cap")) * wide(rest_weight * down) <= wide(left_over) * wide(F.col("weight"))
+    first = F.struct("fill", F.col("source").isNull(), F.col("source"))
+    level = filling.where(~full).agg(F.min_by(F.struct(left_over.alias("left_over"), rest_weight.alias("rest_weight")), first).alias("open")).first()["open"]
+    target = F.col("cap").cast("double")
+    if level is not None:
+        shared = (wide(F.col("weight")) * wide(F.lit(level["left_over"]))).cast("double") / F.lit(float(level["rest_weight"] * down))
+        target = F.when(full, target).otherwise(shared)
+    return filling.select("source", "source_size", target.alias("target"))
 
 
 def mix_sources(
@@ -79,6 +91,7 @@ def mix_sources(
     in_source = Window.partitionBy("s", "no_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before_bucket", F.coalesce(F.sum("bucket_size").over(in_source), F.lit(0))).drop("bucket_size")
     parts = settle(parts.join(filled, ["s", "no_source"]), "mix-parts")
+    drop_settled(filled)
     in_bucket = Window.partitionBy("s", "no_source", "bucket").orderBy("ord", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(parts, ["s", "no_source", "bucket"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -95,6 +95,24 @@ def test_mixing_matches_its_contract(odd):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_sources(odd.repartition(7)).collect()), key=str)
 
 
+@pytest.mark.parametrize("share", [(3, 2), (2, 1)])
+def test_water_fill_over_many_sources(spark, share):
+    """Thousands of sources in several ranges, some beyond 32 bits and some without words, against a loop."""
+    rng = np.random.default_rng(4)
+    sizes = {f"host{i}.example": int(x) for i, x in enumerate(10 ** rng.uniform(0, 10, 3000))} | {"": 5, "empty": 0, "ä": 7, None: 900}
+    order = [*sorted(s for s in sizes if s is not None), None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    target, open_, total = {}, set(order), share[0] * sum(sizes.values()) / share[1]
+    while open_:
+        level = (total - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level >= 2 * sizes[s]}
+        target |= {s: 2.0 * sizes[s] if s in full else weight[s] * level for s in (full or open_)}
+        open_ = open_ - full if full else set()
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(5)
+    found = {r["source"]: r["target"] for r in mixing.water_fill(frame, share=share).collect()}
+    assert found.keys() == target.keys() and all(math.isclose(found[s], target[s], rel_tol=1e-9, abs_tol=1e-6) for s in order)
+
+
 def test_mixing_empty(empty):
     assert mixing.mix_sources(empty).collect() == []
     with pytest.raises(ValueError):
