@@ -41,7 +41,7 @@ def _key(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, texts: int = 1) -> DataFrame:
-    """(__line_host, __line_keys): md5 keys of each host's boilerplate lines.
+    """(__line_host, __line_keys): md5 keys, as hex, of each host's boilerplate lines.
 
     With ``texts`` of 2, a line must stand in two different texts: copies of one page are no sign of boilerplate.
     A host has at most (distinct lines of a page on average) / max_ratio of them, so the array is bounded however
@@ -61,7 +61,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_ratio: float =
     totals = totals.withColumnRenamed("__line_host", "__line_t")
     found = counts.join(totals, F.col("__line_host").eqNullSafe(F.col("__line_t")))
     above = found.where(F.col("__line_n") / F.col("__line_pages") > max_ratio)
-    return above.groupBy("__line_host").agg(F.collect_list("__line_key").alias("__line_keys"))
+    return above.groupBy("__line_host").agg(F.collect_list(F.lower(F.hex("__line_key"))).alias("__line_keys"))
 
 
 def drop_boilerplate_lines(pages: DataFrame, host: Column, text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, texts: int = 1, counts: bool = False) -> DataFrame:
@@ -70,7 +70,11 @@ def drop_boilerplate_lines(pages: DataFrame, host: Column, text: str = "text", m
     # The settled table's size is known: Spark broadcasts it only below its threshold and else splits hot hosts (AQE).
     joined = pages.withColumn("__line_host", host).join(found, F.col("__line_host").eqNullSafe(F.col("__line_b")), "left")
     lines = F.split(text, "\n")
-    kept = F.when(F.col("__line_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__line_keys", _key(x))))
+    # A set operation meets the host's keys with the page's, so that lines are compared with the page's own boilerplate alone.
+    joined = joined.withColumn("__line_own", F.when(F.col("__line_keys").isNotNull(), F.transform(lines, lambda x: F.md5(F.trim(x)))))
+    joined = joined.withColumn("__line_bad", F.array_intersect("__line_own", "__line_keys"))
+    bad = lambda i: F.array_contains("__line_bad", F.element_at("__line_own", i + 1))
+    kept = F.when(F.coalesce(F.size("__line_bad"), F.lit(0)) <= 0, lines).otherwise(F.filter(lines, lambda x, i: (F.trim(x) == "") | ~bad(i)))
     joined = joined.withColumn("__line_kept", kept)
     out = joined
     if counts:
@@ -78,4 +82,4 @@ def drop_boilerplate_lines(pages: DataFrame, host: Column, text: str = "text", m
         size = F.when(F.col(text).isNull(), F.lit(0)).otherwise(full(lines)).cast("long")
         left = F.when(F.col(text).isNull(), F.lit(0)).otherwise(full(F.col("__line_kept"))).cast("long")
         out = out.withColumns({"n_lines": size, "n_dropped": size - left})
-    return out.withColumn(text, F.array_join("__line_kept", "\n")).drop("__line_host", "__line_b", "__line_keys", "__line_kept")
+    return out.withColumn(text, F.array_join("__line_kept", "\n")).drop("__line_host", "__line_b", "__line_keys", "__line_own", "__line_bad", "__line_kept")
