@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import CatalogError, QueryError, TableAlreadyExists, TableNotFound, translated
+from .errors import CatalogError, QueryError, SchemaNotFound, TableAlreadyExists, TableNotFound, TransactionError, translated
 from .plans import statements as st
 from .plans import syntax as s
 from .plans.lowering import lower_select
 from .plans.parser import parse
 from .session import require_ansi
-from .sources.tables import TableDef, TableStore
+from .sources.tables import TableDef, TableStore, Transaction
 
 
 class Engine:
@@ -26,7 +28,9 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         require_ansi(spark)
         self.spark = spark
+        self.root = root.rstrip("/") if root else None
         self.store = TableStore(spark, root) if root else None
+        self.schema = ""
         self._views: dict[str, DataFrame | Callable[[], DataFrame]] = {}
 
     # catalog
@@ -62,6 +66,41 @@ class Engine:
         if self._views.pop(name.lower(), None) is None:
             self._own().drop(name)
 
+    # schemas: the root folder's own tables, and folders of further tables
+
+    def _schemas(self) -> TableStore:
+        self._own()
+        return TableStore(self.spark, f"{self.root}/_schemas")
+
+    def create_schema(self, name: str) -> None:
+        """Makes a schema: a set of tables of its own, whose names are free to equal those of others."""
+        if not re.fullmatch(r"[^\W\d]\w*", name):
+            raise CatalogError(f"{name!r} is no name of a schema")
+        if name.lower() in self.schemas():
+            raise CatalogError(f"schema {name} exists")
+        TableStore(self.spark, f"{self._schemas().root}/{name.lower()}").prepare()
+
+    def schemas(self) -> list[str]:
+        return self._schemas().folders()
+
+    def use_schema(self, name: str = "") -> None:
+        """Statements from now on read and write the tables of this schema; without a name those of the root folder."""
+        if name and name.lower() not in self.schemas():
+            raise SchemaNotFound(name)
+        if isinstance(self.store, Transaction):
+            raise TransactionError("a transaction stays within one schema")
+        self.schema = name.lower()
+        self.store = TableStore(self.spark, f"{self.root}/_schemas/{self.schema}" if name else self.root)
+
+    @contextmanager
+    def transaction(self) -> Iterator[Engine]:
+        """An engine whose statements happen together: all of them when the block ends, none if it raises."""
+        inner = Engine(self.spark)
+        inner.root, inner.schema, inner._views = self.root, self.schema, self._views
+        inner.store = Transaction(self._own())
+        yield inner
+        inner.store.finish()
+
     def _own(self) -> TableStore:
         if self.store is None:
             raise CatalogError("the engine has no folder for tables")

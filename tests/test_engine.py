@@ -277,3 +277,77 @@ def test_compact_sorts_by_the_key(engine):
     after = engine.definition("t")
     assert after.version == version + 1 and len(after.files) == 1
     assert rows(engine, "SELECT id, v FROM t") == [(1, "v1"), (2, "v2"), (3, "v3")]
+
+
+def test_statements_of_a_transaction_happen_together(engine, spark):
+    engine.sql("CREATE TABLE a (id INT PRIMARY KEY, v INT)")
+    engine.sql("INSERT INTO a VALUES (1, 10), (2, 20)")
+    count = lambda on, t: on.collect(f"SELECT COUNT(*) AS n FROM {t}")[0]["n"]
+    with engine.transaction() as t:
+        t.sql("INSERT INTO a VALUES (3, 30)")
+        t.sql("CREATE TABLE b (id INT)")
+        t.sql("INSERT INTO b VALUES (7)")
+        t.sql("UPDATE a SET v = v + 1 WHERE id < 3")
+        t.sql("ALTER TABLE b ADD COLUMN w TEXT DEFAULT 'x'")
+        assert count(t, "a") == 3 and count(t, "b") == 1 and count(engine, "a") == 2 and engine.tables() == ["a"] and t.tables() == ["a", "b"]
+    assert sorted(map(tuple, engine.collect("SELECT id, v FROM a"))) == [(1, 11), (2, 21), (3, 30)] and engine.collect("SELECT w FROM b")[0]["w"] == "x"
+    with pytest.raises(e.QueryError), engine.transaction() as t:
+        t.sql("DELETE FROM a")
+        t.sql("INSERT INTO nowhere VALUES (1)")
+    assert count(engine, "a") == 3
+    with pytest.raises(e.TransactionError), engine.transaction() as t:
+        t.sql("DELETE FROM b")
+        t.sql("INSERT INTO a VALUES (4, 40)")
+        engine.sql("INSERT INTO a VALUES (5, 50)")  # overtakes
+    assert count(engine, "a") == 4 and count(engine, "b") == 1
+    assert engine.store.vacuum("a") > 0 and count(engine, "a") == 4
+    with engine.transaction() as t, pytest.raises(e.TransactionError):
+        t.drop_table("a")
+
+
+def test_a_lost_transaction_is_no_lock(engine):
+    from tessera.sources.tables import Transaction
+
+    for name in ("a", "b"):
+        engine.sql(f"CREATE TABLE {name} (id INT)")
+    count = lambda t: engine.collect(f"SELECT COUNT(*) AS n FROM {t}")[0]["n"]
+
+    class Lost(Transaction):
+        def _decide(self, transaction, outcome):
+            """The driver goes away before the outcome is written."""
+            self.lost = transaction
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt), engine.transaction() as t:
+        t.store = Lost(engine.store)
+        t.sql("INSERT INTO a VALUES (1)")
+        t.sql("INSERT INTO b VALUES (1)")
+    assert count("a") == 0 and count("b") == 0
+    engine.sql("INSERT INTO a VALUES (2)")  # calls the lost one off
+    assert not engine.store._decide(t.store.lost, "done") and count("a") == 1 and count("b") == 0
+    with engine.transaction() as again:
+        again.sql("INSERT INTO b VALUES (3), (4)")
+        again.sql("INSERT INTO a VALUES (5)")
+    assert count("a") == 2 and count("b") == 2
+    engine.store.vacuum("b")
+    assert count("b") == 2
+
+
+def test_schemas(engine):
+    engine.sql("CREATE TABLE t (id INT)")
+    engine.create_schema("Sales")
+    with pytest.raises(e.CatalogError):
+        engine.create_schema("sales")
+    with pytest.raises(e.CatalogError):
+        engine.create_schema("../x")
+    with pytest.raises(e.SchemaNotFound):
+        engine.use_schema("other")
+    engine.use_schema("SALES")
+    assert engine.schemas() == ["sales"] and engine.tables() == []
+    engine.sql("CREATE TABLE t (name TEXT)")
+    engine.sql("INSERT INTO t VALUES ('x')")
+    with engine.transaction() as t:
+        t.sql("INSERT INTO t VALUES ('y')")
+    assert len(engine.collect("SELECT name FROM t")) == 2
+    engine.use_schema()
+    assert engine.collect("SELECT id FROM t") == [] and engine.tables() == ["t"]
