@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, jaccard, licenses, lines, masked_lm, mixing, queries, secrets
+from tessera.llm import common, decontamination, jaccard, licenses, lines, masked_lm, mixing, queries, secrets
 from tessera.llm import text as tx
 from tessera.llm.components import components
 
@@ -231,6 +232,33 @@ def test_jaccard_in_blocks(spark, monkeypatch):
     assert max(most)[0] < 60 * len(rows) and all(n <= 30 * len(rows) for n, name in most if name in ("links", "candidates"))
 
 
+def test_settled_tables_leave_no_shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        found, every = set(), files.getAllFiles()
+        for k in range(every.size()):
+            if (name := every.apply(k).getName()).endswith(".data"):
+                found.add(name)
+        return found
+
+    before = held()
+    frame = common.settle(spark.range(20_000).groupBy((F.col("id") % 9_000).alias("k")).count(), "test")
+    for _ in range(50):  # they are removed by another thread
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and frame.count() == 9_000
+    assert spark.conf.get(common._CLEAN_SHUFFLES, None) in (None, "false")
+
+
+def test_postings_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(1, [7, 8]), (1, [7, 8]), (2, [9, 8]), (3, [10]), (3, [10]), (4, None)], "name bigint, prefix array<bigint>")
+    shared = jaccard._shared_postings(rows)
+    assert shared._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, shared.collect())) == [(8, 1, 1), (8, 2, 1)]
+
+
 def test_signature_bounds_the_overlap():
     import pyarrow as pa
 
