@@ -93,37 +93,45 @@ def contexts(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _exponentials(logits: np.ndarray, steep: bool) -> np.ndarray:
-    """exp of the logits, in place, over a factor for each row; gives the factor's log plus that of the row's sum."""
-    top = logits.max(1, keepdims=True) if steep else None
+def _exponentials(logits: np.ndarray, bias: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of the logits, in place, which lack their bias: (a factor for each column, each row's sum of these products, its log).
+
+    A bias is one factor for all rows, so it need not be added to every logit; the log is of the sum with all factors.
+    """
     if steep:  # else exp cannot overflow
-        logits -= top
+        logits += bias
+        top = logits.max(1)
+        logits -= top[:, None]
     np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    return np.log(total) + top[:, 0] if steep else np.log(total)
+    factor = np.ones_like(bias) if steep else np.exp(bias)
+    total = logits @ factor
+    return factor, total, np.log(total) + top if steep else np.log(total)
 
 
 def _steep(weights: Weights) -> bool:
-    """Whether some logit may be too large for exp; the hidden layer is within -1 and 1."""
-    return max(float((np.abs(weights[w]).sum(-2) + np.abs(weights[b])).max()) for w, b in (("c", "cb"), ("o", "ob"))) > 60
+    """Whether some logit may be too large for exp, or for a quotient of two; the hidden layer is within -1 and 1."""
+    return max(float((np.abs(weights[w]).sum(-2) + np.abs(weights[b])).max()) for w, b in (("c", "cb"), ("o", "ob"))) > 40
 
 
-def _slopes(logits: np.ndarray, true: np.ndarray, steep: bool, n: int) -> np.ndarray:
-    """Gradient of the mean loss over n rows by these logits, in their place."""
-    logs = _exponentials(logits, steep)
-    if steep:
-        logits *= (1 / logits.sum(1))[:, None] / n
-    else:
-        logits *= (np.exp(-logs) / n)[:, None]
-    logits[np.arange(len(true)), true] -= 1 / n
-    return logits
+def _slopes(hidden: np.ndarray, true: np.ndarray, weight: np.ndarray, bias: np.ndarray, steep: bool, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient of the mean loss over n rows by the hidden layer, by the weight and by the bias of a softmax.
 
+    The slopes are factors of rows times what ``logits`` then holds times factors of columns, which narrower arrays take.
+    """
+    logits = hidden @ weight
+    column, total, _ = _exponentials(logits, bias, steep)
+    logits[np.arange(len(true)), true] -= total / column[true]
+    row = 1 / (total * np.float32(n))
+    back = logits @ (weight * column).T
+    back *= row[:, None]
+    return back, ((hidden * row[:, None]).T @ logits) * column, (row @ logits) * column
 
-def _by_class(classes: np.ndarray):
-    """(class, its rows) of each class that is there."""
+
+def _by_class(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(An order of the rows by class, (class, its first place, the place after its last) of each class that is there)."""
     order = np.argsort(classes.astype(np.uint8), kind="stable")  # by radix
-    present, at = np.unique(classes[order], return_index=True)
-    return zip(present.tolist(), np.split(order, at[1:]), strict=True) if len(order) else ()
+    ends = np.cumsum(np.bincount(classes, minlength=CLASSES))
+    return order, [(k, low, high) for k, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if high > low]
 
 
 def log_probabilities(context: np.ndarray, symbols: np.ndarray, weights: Weights) -> np.ndarray:
@@ -134,26 +142,26 @@ def log_probabilities(context: np.ndarray, symbols: np.ndarray, weights: Weights
     out = np.empty(len(symbols), np.float32)
     for low in range(0, len(symbols), _BLOCK):
         part, true = context[low : low + _BLOCK], symbols[low : low + _BLOCK]
-        hidden = tables[0][part[:, 0]]
+        hidden = tables[0].take(part[:, 0], axis=0)  # much faster than an index array
         for k in range(1, 2 * SIDE):
-            hidden += tables[k][part[:, k]]
+            hidden += tables[k].take(part[:, k], axis=0)
         np.tanh(hidden, out=hidden)
         classes, leaves = np.divmod(true, LEAVES)
         told = np.empty(len(true), np.float32)
         for at in range(0, len(true), _CACHED):
             rows = slice(at, at + _CACHED)
             logits = hidden[rows] @ weights["c"]
-            logits += weights["cb"]
-            told[rows] = logits[np.arange(len(logits)), classes[rows]]
-            told[rows] -= _exponentials(logits, steep)
-        for k, every in _by_class(classes):
-            for at in range(0, len(every), _CACHED):
-                rows = every[at : at + _CACHED]
+            told[rows] = logits[np.arange(len(logits)), classes[rows]] + weights["cb"][classes[rows]]
+            told[rows] -= _exponentials(logits, weights["cb"], steep)[2]
+        order, spans = _by_class(classes)
+        hidden, leaves, told = hidden.take(order, axis=0), leaves[order], told[order]
+        for k, first, last in spans:
+            for at in range(first, last, _CACHED):
+                rows = slice(at, min(at + _CACHED, last))
                 logits = hidden[rows] @ weights["o"][k]
-                logits += weights["ob"][k]
-                own = logits[np.arange(len(rows)), leaves[rows]]
-                told[rows] += own - _exponentials(logits, steep)
-        out[low : low + _BLOCK] = told
+                told[rows] += logits[np.arange(len(logits)), leaves[rows]] + weights["ob"][k][leaves[rows]]
+                told[rows] -= _exponentials(logits, weights["ob"][k], steep)[2]
+        out[low + order] = told
     return out
 
 
@@ -161,36 +169,33 @@ def train_windows(context: np.ndarray, symbols: np.ndarray, weights: Weights, mo
     """Adagrad over minibatches, in place."""
 
     def step(name, gradient, at=slice(None)):
-        moments[name][at] += gradient * gradient
-        weights[name][at] -= rate * gradient / np.sqrt(moments[name][at])
+        moment, weight = moments[name][at], weights[name][at]  # views
+        moment += gradient * gradient
+        weight -= rate * gradient / np.sqrt(moment)
 
     for low in range(0, len(symbols), MINIBATCH):
         part, true = context[low : low + MINIBATCH], symbols[low : low + MINIBATCH]
         n = len(true)
-        x = weights["e"][part].reshape(n, -1)
+        x = weights["e"].take(part, axis=0).reshape(n, -1)
         hidden = np.tanh(x @ weights["w1"] + weights["b1"])
         classes, leaves = np.divmod(true, LEAVES)
         steep = _steep(weights)
         back, to_c, to_cb = np.empty_like(hidden), 0, 0
         for at in range(0, n, _CACHED):
-            own = hidden[at : at + _CACHED]
-            slope = own @ weights["c"]
-            slope += weights["cb"]
-            _slopes(slope, classes[at : at + _CACHED], steep, n)
-            back[at : at + _CACHED] = slope @ weights["c"].T
-            to_c, to_cb = to_c + own.T @ slope, to_cb + slope.sum(0)
-        for k, every in _by_class(classes):
+            rows = slice(at, at + _CACHED)
+            back[rows], of_c, of_cb = _slopes(hidden[rows], classes[rows], weights["c"], weights["cb"], steep, n)
+            to_c, to_cb = to_c + of_c, to_cb + of_cb
+        order, spans = _by_class(classes)
+        sorted_hidden, sorted_leaves, within = hidden.take(order, axis=0), leaves[order], np.empty_like(hidden)
+        for k, first, last in spans:
             to_o, to_ob = 0, 0
-            for at in range(0, len(every), _CACHED):
-                rows = every[at : at + _CACHED]
-                own = hidden[rows]
-                slope = own @ weights["o"][k]
-                slope += weights["ob"][k]
-                _slopes(slope, leaves[rows], steep, n)
-                back[rows] += slope @ weights["o"][k].T
-                to_o, to_ob = to_o + own.T @ slope, to_ob + slope.sum(0)
+            for at in range(first, last, _CACHED):
+                rows = slice(at, min(at + _CACHED, last))
+                within[rows], of_o, of_ob = _slopes(sorted_hidden[rows], sorted_leaves[rows], weights["o"][k], weights["ob"][k], steep, n)
+                to_o, to_ob = to_o + of_o, to_ob + of_ob
             step("o", to_o, k)
             step("ob", to_ob, k)
+        back += within.take(np.argsort(order), axis=0)
         step("c", to_c)
         step("cb", to_cb)
         back *= 1 - hidden * hidden
@@ -200,7 +205,10 @@ def train_windows(context: np.ndarray, symbols: np.ndarray, weights: Weights, mo
         flat = part.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")  # by radix
         rows, at = np.unique(flat[order], return_index=True)
-        step("e", np.add.reduceat(to_e[order], at, 0), rows)
+        gradient = np.add.reduceat(to_e.take(order, axis=0), at, 0)
+        moment = moments["e"].take(rows, axis=0) + gradient * gradient
+        moments["e"][rows] = moment
+        weights["e"][rows] = weights["e"].take(rows, axis=0) - rate * gradient / np.sqrt(moment)
 
 
 def _word_counts(batches):
@@ -296,7 +304,7 @@ def _trained(start, turn: int, rounds: int = ROUNDS):
         def flush():
             context, symbols = (np.concatenate(x) for x in zip(*waiting, strict=True))
             mixed = np.argsort(tx.mix(np.arange(len(symbols), dtype=np.uint64)))  # documents mixed
-            train_windows(context[mixed], symbols[mixed], weights, moments, RATE / (1 + turn))
+            train_windows(context.take(mixed, axis=0), symbols[mixed], weights, moments, RATE / (1 + turn))
             waiting.clear()
             return len(symbols)
 
@@ -307,7 +315,7 @@ def _trained(start, turn: int, rounds: int = ROUNDS):
                 place = np.arange(len(symbols)) - np.repeat(lexed.first[:-1], lexed.counts())
                 taken = np.flatnonzero(place % rounds == turn)
                 if len(taken):
-                    waiting.append((contexts(symbols, lexed.first)[taken], symbols[taken]))
+                    waiting.append((contexts(symbols, lexed.first).take(taken, axis=0), symbols[taken]))
                 if sum(len(s) for _, s in waiting) >= 4 * MINIBATCH:
                     windows += flush()
         if waiting:

@@ -511,6 +511,21 @@ def test_masked_lm_gradients():
         assert math.isclose(change, -slope, rel_tol=0.3, abs_tol=2e-3), name
 
 
+@pytest.mark.parametrize("steep", [False, True])
+def test_masked_lm_slopes_with_biases_as_factors(steep):
+    rng = np.random.default_rng(5)
+    hidden, weight = np.tanh(rng.standard_normal((300, 16))).astype(np.float32), rng.standard_normal((16, 128)).astype(np.float32)
+    bias, true = rng.uniform(-30 if steep else -12, 0, 128).astype(np.float32), rng.integers(0, 128, 300)
+    logits = hidden.astype(float) @ weight + bias
+    slope = np.exp(logits - logits.max(1, keepdims=True))
+    slope /= slope.sum(1, keepdims=True)
+    slope[np.arange(300), true] -= 1
+    slope /= 500
+    got = masked_lm._slopes(hidden, true, weight, bias, steep, 500)
+    for found, expected in zip(got, (slope @ weight.T, hidden.T @ slope, slope.sum(0)), strict=True):
+        assert found.dtype == np.float32 and np.allclose(found, expected, rtol=1e-3, atol=1e-6)
+
+
 def test_masked_lm_predicts_held_out_texts_better_than_word_counts(spark):
     """Perplexity on texts that were not trained on, against a unigram model of the trained ones."""
     import pyarrow as pa
